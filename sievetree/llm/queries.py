@@ -6,10 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, secret_scan, simhash
+from pyspark.sql import functions as F
+
+from . import bpe_columns, exact_dedup, gif, line_dedup, lm_score, packing, quality, secret_scan, simhash, token_counts
 from .common import load
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.histogram(load(spark, sf_dir))
+
+
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(load(spark, sf_dir))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(load(spark, sf_dir))
 
@@ -18,11 +28,33 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(load(spark, sf_dir))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = line_dedup.dedup(load(spark, sf_dir))
+    return clean.select("doc_id", "n_lines", "n_deleted", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.query(spark, sf_dir)
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digests(load(spark, sf_dir))
+
+
+def op8_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif.digests(load(spark, sf_dir))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(load(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_simhash, op4_secrets, op9_exact_dedup)}
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe_columns.encode(load(spark, sf_dir), with_decoded=True)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_lm_score, op3_simhash, op4_secrets, op5_line_dedup, op6_quality, op7_packing, op8_gif, op9_exact_dedup, op10_bpe)}
 
 _SPANS = """
   SELECT doc_id, '{kind}' AS kind, {order} AS ord, i,

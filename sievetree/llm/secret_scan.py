@@ -97,19 +97,24 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
     return F.transform(kept, lambda x: F.struct(x["start"].alias("start"), x["rule"].alias("rule"), x["end"].alias("end")))
 
 
-def find(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Every row of docs as (doc_id, text, found): found is array<struct<start,rule,end>> in order of start, then rule."""
+def _marked(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """docs with the spans of its text in __found: array<struct<start,rule,end>> in order of start, then rule."""
     queries = [query_of(r.pattern) for r in rules]
     trigrams = sorted(set().union(*map(trigrams_of, queries)))
-    cand = candidates(index(docs, trigrams), rules, trigrams)
-    rows = texts(docs).alias("d").join(cand.alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")), "left").select("d.doc_id", "d.text", F.coalesce("c.cand", F.array().cast("array<int>")).alias("cand"))
-    none = F.array().cast("array<struct<start:int,rule:int,end:int>>")
+    cand = candidates(index(docs, trigrams), rules, trigrams).select(F.col("doc_id").alias("__id"), F.col("cand").alias("__cand"))
+    rows = docs.join(cand, docs["doc_id"].cast("long").eqNullSafe(F.col("__id")), "left")
+    text, none = F.coalesce(docs["text"].cast("string"), F.lit("")), F.array().cast("array<struct<start:int,rule:int,end:int>>")
     parts = []
     for i, (r, q) in enumerate(zip(rules, queries, strict=True)):
-        asked = F.col("text").rlike(r.java)
-        asked = asked if q == ALL else F.array_contains("cand", i) & asked
-        parts.append(F.when(asked, _spans(F.col("text"), r, i)).otherwise(none))
-    return rows.select("doc_id", "text", F.array_sort(F.concat(*parts)).alias("found"))
+        asked = text.rlike(r.java)
+        asked = asked if q == ALL else F.coalesce(F.array_contains("__cand", i), F.lit(False)) & asked
+        parts.append(F.when(asked, _spans(text, r, i)).otherwise(none))
+    return rows.select(*[docs[c] for c in docs.columns], F.array_sort(F.concat(*parts)).alias("__found"))
+
+
+def find(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Every row of docs as (doc_id, text, found)."""
+    return _marked(texts(docs), rules).withColumnRenamed("__found", "found")
 
 
 def shown(found: Column, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -138,3 +143,13 @@ def redacted(text: Column, found: Column, mark: str = "[SECRET]") -> Column:
 
     done = F.aggregate(found, start, step)
     return F.when(F.size(found) == 0, text).otherwise(F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
+
+
+def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]") -> DataFrame:
+    """docs, all columns and rows, with every span in the text replaced; n_chars, if there, follows. Texts without spans, also null ones, stay as they are."""
+    rows = _marked(docs, rules)
+    changed = F.size("__found") > 0
+    rows = rows.withColumn("text", F.when(changed, redacted(F.col("text"), F.col("__found"), mark)).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return rows.drop("__found")
