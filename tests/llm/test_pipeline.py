@@ -1,0 +1,28 @@
+import os
+
+import pytest
+
+import corpus_pipeline
+from sievetree.llm import queries
+from sievetree.llm.common import load
+
+SF = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+
+
+def test_stages_and_run(spark):
+    docs = load(spark, SF)
+    names = docs.columns
+    ids = {r.doc_id for r in docs.select("doc_id").collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == names, name
+        kept = [r.doc_id for r in docs.select("doc_id").collect()]
+        assert set(kept) <= ids and len(kept) == len(set(kept)) > 100
+        ids = set(kept)
+    packed = corpus_pipeline.run(spark, SF).collect()
+    assert {r.doc_id for r in packed} == ids
+
+
+def test_one_query_an_operator():
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
