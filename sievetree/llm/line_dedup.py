@@ -127,6 +127,8 @@ def overlaps(docs: DataFrame) -> DataFrame:
     once = lines.groupBy("id", "th", "h1", "h2").agg(F.min("pos").alias("first"), F.count("*").alias("times"))
     rows = lines.join(once.select(F.col("id").alias("i"), F.col("th").alias("t"), F.col("h1").alias("a"), F.col("h2").alias("b"), "times"), F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t")) & (F.col("h1") == F.col("a")) & (F.col("h2") == F.col("b"))).select(*lines.columns, "times")
     owner = once.groupBy("h1", "h2").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th", "first", "times")).alias("o"), F.count("*").alias("df")).where("df > 1")
+    # Written, so that the join below deals both sides by itself and a line that very many documents share can be split.
+    owner = written(owner, "line-owners")
     found = rows.join(owner.select("h1", "h2", F.col("o.id").alias("o_id"), F.col("o.th").alias("o_th"), F.col("o.first").alias("o_pos"), F.col("o.times").alias("o_times")), ["h1", "h2"])
     found = found.where(~(F.col("id").eqNullSafe(F.col("o_id")) & (F.col("th") == F.col("o_th"))))
     return found.select("id", "th", "n_lines", "o_id", "o_th", "pos", "o_pos", ((F.col("times") == 1) & (F.col("o_times") == 1)).alias("anchor"), "words")
@@ -140,7 +142,7 @@ def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """One row per document: doc_id, text without the lines deleted, n_lines, n_deleted."""
-    gone = written(deletions(docs, min_words), "line-deletions")
+    gone = written(deletions(docs, min_words), "line-deletions").hint("merge")
     rows = texts(docs).withColumn("th", F.xxhash64("text")).alias("d").join(gone.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.id")) & (F.col("d.th") == F.col("g.th")), "left")
     lines = F.split("text", "\n", -1)
     rows = rows.select("d.doc_id", "d.text", "g.gone")
