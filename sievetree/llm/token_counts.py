@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from . import bpe
 from .bpe_columns import _default_path
+from .common import written
 
 BLOCK = 1024
 
@@ -41,7 +42,8 @@ def lengths(docs: DataFrame, by: Sequence[str] = (), path: str | None = None) ->
 def histogram(docs: DataFrame, by: Sequence[str] = (), path: str | None = None) -> DataFrame:
     """A row for each length (in each group): n_docs of it; docs_up_to; docs and tokens of at least it; truncated_tokens, the total if documents are cut to it; quantile, the share of documents up to it; and the totals."""
     group = [f"by{i}" for i in range(len(by))]
-    hist = lengths(docs, by, path).groupBy(*group, "n_tokens").agg(F.count("*").alias("n_docs"))
+    # Read twice below, so it is written: texts are encoded once.
+    hist = written(lengths(docs, by, path).groupBy(*group, "n_tokens").agg(F.count("*").alias("n_docs")), "token-histogram")
     hist = hist.withColumn("block", F.expr(f"n_tokens div {BLOCK}"))
     blocks = hist.groupBy(*group, "block").agg(F.sum("n_docs").alias("block_docs"), F.sum(F.expr("n_docs * n_tokens")).alias("block_tokens"))
     behind = Window.partitionBy(*group).orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
