@@ -6,15 +6,17 @@ has its share of the training counts, one more for all words never seen. Biases
 untrained model is the unigram model and training only adds what the state tells.
 
 Gates: z, r = sigmoid(x + U h), n = tanh(x_n + r * (U_n h)), h' = (1-z) n + z h; x is a learned row per input word.
-Training is truncated backpropagation through windows of WINDOW tokens; the state, without gradient, goes from window to window.
+Training is truncated backpropagation through windows of WINDOW tokens; the state, without gradient, goes from window to window. Every
+token is learned from; texts over SEGMENT tokens are cut there for training alone, so that one long text does not leave the lanes empty
+(a later segment starts with its real previous word and a state of zero). Scoring never cuts.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-HIDDEN, CLASS, WINDOW, LANES = 16, 64, 16, 64
-RATE, CLIP = 0.1, 5.0
+HIDDEN, CLASS, WINDOW, LANES, SEGMENT = 16, 64, 16, 256, 1024
+RATE, CLIP, LIMIT = 0.2, 5.0, 60.0
 #: Names and order of the parameters.
 PARTS = ("x", "u", "uc", "bc", "uw", "bw")
 
@@ -70,21 +72,30 @@ def lanes(lengths: np.ndarray, width: int) -> list[list[int]]:
     return [rows[k] for k in sorted(range(width), key=lambda k: -loads[k]) if rows[k]]
 
 
-def _lay(sequences: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(tokens by time and lane, -1 behind the end; input tokens, -1 at a sequence's start; number of the sequence)."""
+def segments(sequences: list[np.ndarray], length: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The sequences cut at every `length` tokens, and the token before each piece (-1 at a text's start)."""
+    pieces = [(s[a : a + length], s[a - 1] if a else -1) for s in sequences for a in range(0, len(s), length)]
+    return [p for p, _ in pieces], np.array([before for _, before in pieces], np.int32)
+
+
+def _lay(sequences: list[np.ndarray], width: int, previous: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens by time and lane, -1 behind the end; input tokens, -1 or `previous` at a sequence's start; number of the sequence; whether it starts)."""
     lengths = np.fromiter(map(len, sequences), np.int64, len(sequences))
     dealt = lanes(lengths, width)
     steps = max(int(lengths[rows].sum()) for rows in dealt)
     token = np.full((len(dealt), steps), -1, np.int32)
     before = np.full((len(dealt), steps), -1, np.int32)
     owner = np.zeros((len(dealt), steps), np.int32)
+    fresh = np.zeros((len(dealt), steps), bool)
     for k, rows in enumerate(dealt):
         flat = np.concatenate([sequences[i] for i in rows])
         token[k, : len(flat)] = flat
         before[k, 1 : len(flat)] = flat[:-1]
-        before[k, np.cumsum(lengths[rows]) - lengths[rows]] = -1
+        starts = np.cumsum(lengths[rows]) - lengths[rows]
+        before[k, starts] = -1 if previous is None else previous[rows]
+        fresh[k, starts] = True
         owner[k, : len(flat)] = np.repeat(rows, lengths[rows])
-    return token.T, before.T, owner.T
+    return token.T, before.T, owner.T, fresh.T
 
 
 def _step(model, h: np.ndarray, x: np.ndarray):
@@ -96,19 +107,29 @@ def _step(model, h: np.ndarray, x: np.ndarray):
     return n + z * (h - n), z, r, n, gn
 
 
-def _classes(model, h: np.ndarray):
-    logits = h @ model["uc"] + model["bc"]
-    logits -= logits.max(1, keepdims=True)
+def _softmax(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(logits, their exponentials, row sums), in place. Logits are bounded by LIMIT, so no row can overflow or vanish."""
+    np.clip(logits, -LIMIT, LIMIT, out=logits)
     e = np.exp(logits)
-    total = e.sum(1, keepdims=True)
-    return logits, e, total
+    return logits, e, e @ np.ones(e.shape[1], np.float32)
+
+
+def _classes(model, h: np.ndarray):
+    return _softmax(h @ model["uc"] + model["bc"])
 
 
-def _by_class(cls: np.ndarray, classes: int):
-    """(class, rows) of the learned classes that occur."""
+def _inside(model, h: np.ndarray, cls: np.ndarray, classes: int):
+    """Logits inside the learned classes: (rows, sorted by class; their states; [(class, from, to)]; logits, one row for each)."""
     order = np.argsort(cls, kind="stable")
     bounds = np.searchsorted(cls[order], np.arange(classes + 1))
-    return [(c, order[a:b]) for c, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) if b > a]
+    rows = order[: bounds[-1]]
+    some = h[rows]
+    logits = np.empty((len(rows), CLASS), np.float32)
+    spans = [(c, a, b) for c, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)) if b > a]
+    for c, a, b in spans:
+        np.matmul(some[a:b], model["uw"][c], out=logits[a:b])
+        logits[a:b] += model["bw"][c]
+    return rows, some, spans, logits
 
 
 def log_likelihood(model, sequences: list[np.ndarray], words: int, width: int = 512, window: int = 32) -> np.ndarray:
@@ -116,7 +137,7 @@ def log_likelihood(model, sequences: list[np.ndarray], words: int, width: int =
     out = np.zeros(len(sequences))
     if not sequences:
         return out
-    token, before, owner = _lay(sequences, width)
+    token, before, owner, fresh = _lay(sequences, width)
     h = np.zeros((token.shape[1], HIDDEN), np.float32)
     active = (token >= 0).sum(1)
     for at in range(0, len(token), window):
@@ -125,7 +146,7 @@ def log_likelihood(model, sequences: list[np.ndarray], words: int, width: int =
         for t in range(at, stop):
             n = active[t]
             x = before[t, :n]
-            h = h[:n] * (x >= 0)[:, None]
+            h = h[:n] * ~fresh[t, :n, None]
             h = _step(model, h, model["x"][x])[0]
             states.append(h)
         tokens = np.concatenate([token[t, : active[t]] for t in range(at, stop)])
@@ -141,19 +162,19 @@ def _class_of(tokens: np.ndarray, words: int) -> np.ndarray:
 def token_scores(model, h: np.ndarray, tokens: np.ndarray, words: int) -> np.ndarray:
     cls = _class_of(tokens, words)
     logits, _, total = _classes(model, h)
-    score = (logits[np.arange(len(tokens)), cls] - np.log(total[:, 0])).astype(np.float64)
-    for c, rows in _by_class(cls, words // CLASS):
-        inner = h[rows] @ model["uw"][c] + model["bw"][c]
-        top = inner.max(1)
-        score[rows] += inner[np.arange(len(rows)), tokens[rows] % CLASS] - top - np.log(np.exp(inner - top[:, None]).sum(1))
+    score = (logits[np.arange(len(tokens)), cls] - np.log(total)).astype(np.float64)
+    rows, _, _, inner = _inside(model, h, cls, words // CLASS)
+    inner, _, total = _softmax(inner)
+    score[rows] += inner[np.arange(len(rows)), tokens[rows] % CLASS] - np.log(total)
     return score
 
 
-def train(model, sequences: list[np.ndarray], words: int, width: int = LANES, window: int = WINDOW, rate: float = RATE) -> int:
+def train(model, sequences: list[np.ndarray], words: int, width: int = LANES, window: int = WINDOW, rate: float = RATE, segment: int = SEGMENT) -> int:
     """One pass of truncated backpropagation, in place, with Adagrad steps; returns the tokens learned from."""
     if not sequences:
         return 0
-    token, before, _ = _lay(sequences, min(width, len(sequences)))
+    sequences, previous = segments(sequences, segment)
+    token, before, _, fresh = _lay(sequences, min(width, len(sequences)), previous)
     squares = {p: np.full(model[p].shape, 1e-2, np.float32) for p in PARTS}
     carried = np.zeros((token.shape[1], HIDDEN), np.float32)
     active = (token >= 0).sum(1)
@@ -169,9 +190,10 @@ def train(model, sequences: list[np.ndarray], words: int, width: int = LANES, wi
         for t in span:
             n = active[t]
             x = before[t, :n]
-            held = h[:n] * (x >= 0)[:, None]
+            carry = ~fresh[t, :n, None]
+            held = h[:n] * carry
             h, z, r, cand, gn = _step(model, held, model["x"][x])
-            trace.append((held, z, r, cand, gn, h, x))
+            trace.append((held, z, r, cand, gn, h, x, carry))
         carried = h
         states = np.concatenate([s[5] for s in trace])
         tokens = np.concatenate([token[t, : active[t]] for t in span])
@@ -179,25 +201,26 @@ def train(model, sequences: list[np.ndarray], words: int, width: int = LANES, wi
         learned += n_all
         cls = _class_of(tokens, words)
         _, e, total = _classes(model, states)
-        d_class = e / total
+        d_class = e / total[:, None]
         d_class[np.arange(n_all), cls] -= 1
-        d_class /= np.float32(LANES)
+        d_class /= np.float32(width)
         d_state = d_class @ model["uc"].T
+        rows, some, spans, inner = _inside(model, states, cls, words // CLASS)
+        _, p, total = _softmax(inner)
+        p /= total[:, None]
+        p[np.arange(len(rows)), tokens[rows] % CLASS] -= 1
+        p /= np.float32(width)
+        d_some = np.empty_like(some)
         inner_moves = []
-        for c, rows in _by_class(cls, words // CLASS):
-            some = states[rows]
-            inner = some @ model["uw"][c] + model["bw"][c]
-            p = np.exp(inner - inner.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(len(rows)), tokens[rows] % CLASS] -= 1
-            p /= np.float32(LANES)
-            d_state[rows] += p @ model["uw"][c].T
-            inner_moves.append((c, some.T @ p, p.sum(0)))
+        for c, a, b in spans:
+            np.matmul(p[a:b], model["uw"][c].T, out=d_some[a:b])
+            inner_moves.append((c, some[a:b].T @ p[a:b], p[a:b].sum(0)))
+        d_state[rows] += d_some
         d_u = np.zeros_like(model["u"])
         d_rows, d_xs = [], []
         back = np.zeros((0, HIDDEN), np.float32)
         end = n_all
-        for held, z, r, cand, gn, _, x in reversed(trace):
+        for held, z, r, cand, gn, _, x, carry in reversed(trace):
             n = len(x)
             d_h = d_state[end - n : end].copy()
             d_h[: len(back)] += back
@@ -208,7 +231,7 @@ def train(model, sequences: list[np.ndarray], words: int, width: int = LANES, wi
             d_x = np.concatenate([d_z, d_r, d_cand], 1)
             d_g = np.concatenate([d_z, d_r, d_cand * r], 1)
             d_u += held.T @ d_g
-            back = (d_h * z + d_g @ model["u"].T) * (x >= 0)[:, None]
+            back = (d_h * z + d_g @ model["u"].T) * carry
             d_rows.append(x)
             d_xs.append(d_x)
         size = np.sqrt(float((d_u * d_u).sum()))
@@ -218,8 +241,8 @@ def train(model, sequences: list[np.ndarray], words: int, width: int = LANES, wi
         for c, d_w, d_b in inner_moves:
             move("uw", d_w, c)
             move("bw", d_b, c)
-        rows, where = np.unique(np.concatenate(d_rows) % len(model["x"]), return_inverse=True)
-        d_x = np.zeros((len(rows), 3 * HIDDEN), np.float32)
-        np.add.at(d_x, where, np.concatenate(d_xs))
-        move("x", d_x, rows)
+        rows = np.concatenate(d_rows) % len(model["x"])
+        order = np.argsort(rows, kind="stable")
+        rows, firsts = np.unique(rows[order], return_index=True)
+        move("x", np.add.reduceat(np.concatenate(d_xs)[order], firsts), rows)
     return learned

@@ -5,9 +5,8 @@ commonest words, a bounded list, are broadcast with the model; counts of all oth
 learned softmax, all others belong to a tail class by their form and have their counted share of it.
 
 Training: each task learns from its own documents, whole texts, starting at the model the counts give, and the weights are
-averaged by tokens; so training grows with the corpus. A document is learned from if its hash falls in one of TRAIN_ONE_IN parts:
-the counts and every bias are of all training documents, the recurrent weights of that share of them (learning from every token
-takes more CPU time than scoring everything allows; the share is a parameter and the same at every size).
+averaged by tokens. Counts, biases and recurrent weights are of every token of every training document, so training grows with the
+corpus.
 
 Scoring: every document, whole, the state carried from its first token to its end. Words outside the known list leave the task as
 (document, word, times) and meet the count table in a join; common words never go through it, so no hot word is shuffled.
@@ -34,7 +33,7 @@ from pyspark.sql import functions as F
 from . import gru
 from .common import crc32_of_id, texts, written
 
-LEARNED, KNOWN, TRAIN_ONE_IN = 2048, 60_000, 8
+LEARNED, KNOWN = 2048, 60_000
 #: No word holds white space, so the end token can be written as a line feed.
 END = b"\n"
 FORMS = 18
@@ -155,13 +154,13 @@ def _sum_blocks(table: pa.Table) -> pa.Table:
     return pa.table({"block": table.column("block").slice(0, 1), "salt": table.column("salt").slice(0, 1), "n": pa.array([sum(table.column("n").to_pylist())], pa.int64()), "weights": pa.array([total.tobytes()], pa.binary())})
 
 
-def fit(docs: DataFrame, vocabulary: Vocabulary, one_in: int = TRAIN_ONE_IN):
+def fit(docs: DataFrame, vocabulary: Vocabulary):
     """The averaged weights (half a megabyte whatever the input), and the broadcast vocabulary. Sums go through salted groups first, so no task gathers all workers' weights."""
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast(vocabulary)
     first = gru.flatten(gru.start(vocabulary.head, vocabulary.tail_c))
     begin = sc.broadcast(first)
-    rows = texts(docs).where(~held_out(F.col("doc_id"))).where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(one_in)) == 0).select("text")
+    rows = texts(docs).where(~held_out(F.col("doc_id"))).select("text")
     schema = "block int, salt int, n long, weights binary"
     sums = rows.mapInArrow(lambda b: _train(b, shared, begin), schema).groupBy("block", "salt").applyInArrow(_sum_blocks, schema).groupBy("block").applyInArrow(_sum_blocks, schema)
     blocks = sorted(sums.collect(), key=lambda r: r.block)
@@ -212,11 +211,11 @@ def _score(batches: Iterator[pa.RecordBatch], vocabulary, weights) -> Iterator[p
         yield scored()
 
 
-def score(docs: DataFrame, learned: int = LEARNED, known: int = KNOWN, one_in: int = TRAIN_ONE_IN) -> DataFrame:
+def score(docs: DataFrame, learned: int = LEARNED, known: int = KNOWN) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     counts = count_words(docs)
     vocabulary = Vocabulary(counts, learned, known)
-    weights, shared = fit(docs, vocabulary, one_in)
+    weights, shared = fit(docs, vocabulary)
     model = docs.sparkSession.sparkContext.broadcast(weights)
     rows = texts(docs).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(lambda b: _score(b, shared, model), _SCORED)
     rows = written(rows, "scored")

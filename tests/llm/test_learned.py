@@ -64,6 +64,14 @@ def test_gradients():
     assert gru.log_likelihood(model, [words] * 4, 128).sum() > before
 
 
+def test_segments_hold_every_token():
+    whole = [np.arange(10, dtype=np.int32), np.arange(3, dtype=np.int32), np.arange(4, dtype=np.int32)]
+    pieces, before = gru.segments(whole, 4)
+    assert [p.tolist() for p in pieces] == [[0, 1, 2, 3], [4, 5, 6, 7], [8, 9], [0, 1, 2], [0, 1, 2, 3]] and before.tolist() == [-1, 3, 7, -1, -1]
+    model = gru.start(np.ones(128), np.ones(3))
+    assert gru.train(model, whole, 128, segment=4) == 17
+
+
 def test_lm_scores(spark, awkward, nothing):
     rows = [(i, t) for i, t, _ in corpus(60)] + AWKWARD
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -73,7 +81,7 @@ def test_lm_scores(spark, awkward, nothing):
     n, v = sum(c.values()), len(c)
     want = sorted(((i is None, i or 0, held(i), len(ws), sum(c[w] > 0 for w in ws), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws), 6)) for (i, _), ws in zip(rows, tokens, strict=True)))
     for known in (2, 60_000):  # nearly all words through the join, or none
-        got = lm_score.score(docs, learned=64, known=known, one_in=2).collect()
+        got = lm_score.score(docs, learned=64, known=known).collect()
         assert sorted((r.doc_id is None, r.doc_id or 0, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
         assert all(r.score < 0 and math.isfinite(r.score) for r in got)
     assert lm_score.score(nothing).count() == 0
