@@ -120,7 +120,7 @@ def _classes(model, h: np.ndarray):
 
 def _inside(model, h: np.ndarray, cls: np.ndarray, classes: int):
     """Logits inside the learned classes: (rows, sorted by class; their states; [(class, from, to)]; logits, one row for each)."""
-    order = np.argsort(cls, kind="stable")
+    order = np.argsort(cls.astype(np.uint16), kind="stable")
     bounds = np.searchsorted(cls[order], np.arange(classes + 1))
     rows = order[: bounds[-1]]
     some = h[rows]
@@ -142,16 +142,17 @@ def log_likelihood(model, sequences: list[np.ndarray], words: int, width: int =
     active = (token >= 0).sum(1)
     for at in range(0, len(token), window):
         stop = min(len(token), at + window)
-        states = []
-        for t in range(at, stop):
-            n = active[t]
-            x = before[t, :n]
-            h = h[:n] * ~fresh[t, :n, None]
-            h = _step(model, h, model["x"][x])[0]
-            states.append(h)
+        ends = np.cumsum(active[at:stop])
         tokens = np.concatenate([token[t, : active[t]] for t in range(at, stop)])
         owners = np.concatenate([owner[t, : active[t]] for t in range(at, stop)])
-        out += np.bincount(owners, token_scores(model, np.concatenate(states), tokens, words), len(out))
+        carry = np.concatenate([~fresh[t, : active[t]] for t in range(at, stop)])[:, None].astype(np.float32)
+        gathered = model["x"][np.concatenate([before[t, : active[t]] for t in range(at, stop)])]
+        states = np.empty((len(tokens), HIDDEN), np.float32)
+        a = 0
+        for b in ends.tolist():
+            h = states[a:b] = _step(model, h[: b - a] * carry[a:b], gathered[a:b])[0]
+            a = b
+        out += np.bincount(owners, token_scores(model, states, tokens, words), len(out))
     return out
 
 
@@ -181,23 +182,25 @@ def train(model, sequences: list[np.ndarray], words: int, width: int = LANES, wi
     learned = 0
 
     def move(part: str, grad: np.ndarray, rows=slice(None)) -> None:
-        squares[part][rows] += grad * grad
-        model[part][rows] -= rate * grad / np.sqrt(squares[part][rows])
+        square = squares[part][rows] + grad * grad
+        squares[part][rows] = square
+        model[part][rows] -= rate * grad / np.sqrt(square)
 
     for at in range(0, len(token), window):
         span = range(at, min(len(token), at + window))
-        h, trace = carried, []
-        for t in span:
-            n = active[t]
-            x = before[t, :n]
-            carry = ~fresh[t, :n, None]
-            held = h[:n] * carry
-            h, z, r, cand, gn = _step(model, held, model["x"][x])
-            trace.append((held, z, r, cand, gn, h, x, carry))
-        carried = h
-        states = np.concatenate([s[5] for s in trace])
+        ends = np.cumsum(active[at : span.stop])
+        n_all = int(ends[-1])
+        inputs = np.concatenate([before[t, : active[t]] for t in span])
         tokens = np.concatenate([token[t, : active[t]] for t in span])
-        n_all = len(tokens)
+        carry = np.concatenate([~fresh[t, : active[t]] for t in span])[:, None].astype(np.float32)
+        gathered = model["x"][inputs]
+        held, z, r, cand, gn, states = (np.empty((n_all, HIDDEN), np.float32) for _ in range(6))
+        h, a = carried, 0
+        for b in ends.tolist():
+            np.multiply(h[: b - a], carry[a:b], out=held[a:b])
+            states[a:b], z[a:b], r[a:b], cand[a:b], gn[a:b] = _step(model, held[a:b], gathered[a:b])
+            h, a = states[a:b], b
+        carried = h
         learned += n_all
         cls = _class_of(tokens, words)
         _, e, total = _classes(model, states)
@@ -211,38 +214,44 @@ def train(model, sequences: list[np.ndarray], words: int, width: int = LANES, wi
         p[np.arange(len(rows)), tokens[rows] % CLASS] -= 1
         p /= np.float32(width)
         d_some = np.empty_like(some)
-        inner_moves = []
-        for c, a, b in spans:
+        d_w = np.empty((len(spans), HIDDEN, CLASS), np.float32)
+        d_b = np.empty((len(spans), CLASS), np.float32)
+        for i, (c, a, b) in enumerate(spans):
             np.matmul(p[a:b], model["uw"][c].T, out=d_some[a:b])
-            inner_moves.append((c, some[a:b].T @ p[a:b], p[a:b].sum(0)))
+            np.matmul(some[a:b].T, p[a:b], out=d_w[i])
+            p[a:b].sum(0, out=d_b[i])
         d_state[rows] += d_some
-        d_u = np.zeros_like(model["u"])
-        d_rows, d_xs = [], []
+        # What a step's gradient is multiplied by does not depend on later steps, so it is taken for the whole window at once.
+        by_cand = (1 - z) * (1 - cand * cand)
+        by_z = (held - cand) * z * (1 - z)
+        by_r = gn * r * (1 - r)
+        d_x = np.empty((n_all, 3 * HIDDEN), np.float32)
+        d_g = np.empty((n_all, 3 * HIDDEN), np.float32)
         back = np.zeros((0, HIDDEN), np.float32)
-        end = n_all
-        for held, z, r, cand, gn, _, x, carry in reversed(trace):
-            n = len(x)
-            d_h = d_state[end - n : end].copy()
+        u_t = model["u"].T
+        for a, b in zip([0, *ends[:-1].tolist()][::-1], ends.tolist()[::-1], strict=True):
+            d_h = d_state[a:b]
             d_h[: len(back)] += back
-            end -= n
-            d_cand = d_h * (1 - z) * (1 - cand * cand)
-            d_z = d_h * (held - cand) * z * (1 - z)
-            d_r = d_cand * gn * r * (1 - r)
-            d_x = np.concatenate([d_z, d_r, d_cand], 1)
-            d_g = np.concatenate([d_z, d_r, d_cand * r], 1)
-            d_u += held.T @ d_g
-            back = (d_h * z + d_g @ model["u"].T) * carry
-            d_rows.append(x)
-            d_xs.append(d_x)
+            d_cand, g = d_x[a:b, 2 * HIDDEN :], d_g[a:b]
+            np.multiply(d_h, by_cand[a:b], out=d_cand)
+            np.multiply(d_h, by_z[a:b], out=g[:, :HIDDEN])
+            np.multiply(d_cand, by_r[a:b], out=g[:, HIDDEN : 2 * HIDDEN])
+            np.multiply(d_cand, r[a:b], out=g[:, 2 * HIDDEN :])
+            back = g @ u_t
+            back += d_h * z[a:b]
+            back *= carry[a:b]
+        d_x[:, : 2 * HIDDEN] = d_g[:, : 2 * HIDDEN]
+        d_u = held.T @ d_g
         size = np.sqrt(float((d_u * d_u).sum()))
         move("u", d_u * np.float32(min(1.0, CLIP / (size + 1e-9))))
         move("uc", states.T @ d_class)
         move("bc", d_class.sum(0))
-        for c, d_w, d_b in inner_moves:
-            move("uw", d_w, c)
-            move("bw", d_b, c)
-        rows = np.concatenate(d_rows) % len(model["x"])
-        order = np.argsort(rows, kind="stable")
-        rows, firsts = np.unique(rows[order], return_index=True)
-        move("x", np.add.reduceat(np.concatenate(d_xs)[order], firsts), rows)
+        present = [c for c, _, _ in spans]
+        move("uw", d_w, present)
+        move("bw", d_b, present)
+        rows = inputs % len(model["x"])
+        order = np.argsort(rows.astype(np.uint16) if len(model["x"]) <= 65536 else rows, kind="stable")
+        rows = rows[order]
+        firsts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+        move("x", np.add.reduceat(d_x[order], firsts), rows[firsts])
     return learned
