@@ -8,8 +8,9 @@ Training: each task learns from its own documents, whole texts, starting at the
 averaged by tokens. Counts, biases and recurrent weights are of every token of every training document, so training grows with the
 corpus.
 
-Scoring: every document, whole, the state carried from its first token to its end. Words outside the known list leave the task as
-(document, word, times) and meet the count table in a join; common words never go through it, so no hot word is shuffled.
+Scoring: every document, whole, the state carried from its first token to its end. Documents are encoded once and written as token
+numbers; words outside the known list are beside them as (word, times) and meet the count table in a join; common words never go
+through it, so no hot word is shuffled.
 
 Tokens are words `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased, then one end for each document.
 
@@ -129,58 +130,17 @@ class Vocabulary:
         return at
 
 
-def _train(batches: Iterator[pa.RecordBatch], vocabulary, first) -> Iterator[pa.RecordBatch]:
-    v, flat = vocabulary.value, first.value
-    model, learned, run, size = gru.restore(flat, v.learned, FORMS), 0, [], 0
-    for batch in batches:
-        for text in batch.column("text"):
-            places = v.look_up(tokens(text.as_py()))
-            run.append(v.token[places])
-            size += len(places)
-            if size >= 500_000:
-                learned += gru.train(model, run, v.learned)
-                run, size = [], 0
-    learned += gru.train(model, run, v.learned)
-    if learned:
-        weights = gru.flatten(model).astype("<f8") * learned
-        salt = TaskContext.get().partitionId() % 64
-        parts = [weights[i : i + _BLOCK].tobytes() for i in range(0, len(weights), _BLOCK)]
-        n = len(parts)
-        yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([salt] * n, pa.int32()), pa.array([learned] * n, pa.int64()), pa.array(parts, pa.binary())], ["block", "salt", "n", "weights"])
-
-
-def _sum_blocks(table: pa.Table) -> pa.Table:
-    total = np.sum([np.frombuffer(x.as_py(), "<f8") for x in table.column("weights")], axis=0)
-    return pa.table({"block": table.column("block").slice(0, 1), "salt": table.column("salt").slice(0, 1), "n": pa.array([sum(table.column("n").to_pylist())], pa.int64()), "weights": pa.array([total.tobytes()], pa.binary())})
+_ENCODED = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, inside double, tokens binary, rare array<struct<word:binary,n:int>>"
 
 
-def fit(docs: DataFrame, vocabulary: Vocabulary):
-    """The averaged weights (half a megabyte whatever the input), and the broadcast vocabulary. Sums go through salted groups first, so no task gathers all workers' weights."""
-    sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast(vocabulary)
-    first = gru.flatten(gru.start(vocabulary.head, vocabulary.tail_c))
-    begin = sc.broadcast(first)
-    rows = texts(docs).where(~held_out(F.col("doc_id"))).select("text")
-    schema = "block int, salt int, n long, weights binary"
-    sums = rows.mapInArrow(lambda b: _train(b, shared, begin), schema).groupBy("block", "salt").applyInArrow(_sum_blocks, schema).groupBy("block").applyInArrow(_sum_blocks, schema)
-    blocks = sorted(sums.collect(), key=lambda r: r.block)
-    if not blocks:
-        return first, shared
-    return (np.concatenate([np.frombuffer(bytes(r.weights), "<f8") for r in blocks]) / blocks[0].n).astype("<f4"), shared
-
-
-_SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<struct<word:binary,n:int>>"
-
-
-def _score(batches: Iterator[pa.RecordBatch], vocabulary, weights) -> Iterator[pa.RecordBatch]:
+def _encode(batches: Iterator[pa.RecordBatch], vocabulary) -> Iterator[pa.RecordBatch]:
     v = vocabulary.value
-    model = gru.restore(weights.value, v.learned, FORMS)
     smooth = math.log10(v.n + v.v + 1)
     first = TaskContext.get().partitionId() << 40
     held: list[tuple] = []
     size = 0
 
-    def scored() -> pa.RecordBatch:
+    def encoded() -> pa.RecordBatch:
         nonlocal first
         n = len(held)
         lengths = np.fromiter((len(r[2]) for r in held), np.int64, n)
@@ -188,15 +148,15 @@ def _score(batches: Iterator[pa.RecordBatch], vocabulary, weights) -> Iterator[p
         owner = np.repeat(np.arange(n), lengths)
         base = np.bincount(owner, v.log_count[places], n) - lengths * smooth
         known = np.bincount(owner, v.known[places], n).astype(np.int64)
-        model_part = gru.log_likelihood(model, [v.token[r[2]] for r in held], v.learned) / math.log(10)
-        score = model_part + np.bincount(owner, v.inside[places], n)
+        inside = np.bincount(owner, v.inside[places], n)
+        ids = [v.token[r[2]].astype("<u2").tobytes() for r in held]
         words = pa.array(list(chain.from_iterable(r[3] for r in held)), pa.binary())
         times = pa.array(list(chain.from_iterable(r[3].values() for r in held)), pa.int32())
         offsets = np.r_[0, np.cumsum(np.fromiter((len(r[3]) for r in held), np.int64, n))].astype(np.int32)
         rare = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([words, times], ["word", "n"]))
-        columns = [pa.array(np.arange(first, first + n)), pa.array([r[0] for r in held], pa.int64()), pa.array([r[1] for r in held], pa.bool_()), pa.array(lengths), pa.array(known), pa.array(base), pa.array(score), rare]
+        columns = [pa.array(np.arange(first, first + n)), pa.array([r[0] for r in held], pa.int64()), pa.array([r[1] for r in held], pa.bool_()), pa.array(lengths), pa.array(known), pa.array(base), pa.array(inside), pa.array(ids, pa.binary()), rare]
         first += n
-        return pa.RecordBatch.from_arrays(columns, ["rid", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare"])
+        return pa.RecordBatch.from_arrays(columns, ["rid", "doc_id", "held_out", "n_tokens", "n_known", "base", "inside", "tokens", "rare"])
 
     for batch in batches:
         for doc_id, out, text in zip(batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(), batch.column("text"), strict=True):
@@ -205,25 +165,95 @@ def _score(batches: Iterator[pa.RecordBatch], vocabulary, weights) -> Iterator[p
             held.append((doc_id, out, places, Counter(words[i] for i in np.flatnonzero(places >= len(v.words)).tolist())))
             size += len(words)
             if size >= _FLUSH_TOKENS:
-                yield scored()
+                yield encoded()
                 held, size = [], 0
     if held:
+        yield encoded()
+
+
+def encode(docs: DataFrame, shared) -> DataFrame:
+    """Every document as token numbers of two bytes, with what its score takes from the counts alone, written to the shared folder; training and scoring read it, so words are looked up once."""
+    rows = texts(docs).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
+    return written(rows.mapInArrow(lambda b: _encode(b, shared), _ENCODED), "encoded")
+
+
+def _ids(column: pa.Array) -> Iterator[np.ndarray]:
+    return (np.frombuffer(x.as_buffer(), "<u2").astype(np.int32) for x in column)
+
+
+def _train(batches: Iterator[pa.RecordBatch], learned_words: int, first) -> Iterator[pa.RecordBatch]:
+    model, learned, run, size = gru.restore(first.value, learned_words, FORMS), 0, [], 0
+    for batch in batches:
+        for ids in _ids(batch.column("tokens")):
+            run.append(ids)
+            size += len(ids)
+            if size >= 500_000:
+                learned += gru.train(model, run, learned_words)
+                run, size = [], 0
+    learned += gru.train(model, run, learned_words)
+    if learned:
+        weights = gru.flatten(model).astype("<f8") * learned
+        salt = TaskContext.get().partitionId() % 64
+        parts = [weights[i : i + _BLOCK].tobytes() for i in range(0, len(weights), _BLOCK)]
+        n = len(parts)
+        yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([salt] * n, pa.int32()), pa.array([learned] * n, pa.int64()), pa.array(parts, pa.binary())], ["block", "salt", "n", "weights"])
+
+
+def _sum_blocks(table: pa.Table) -> pa.Table:
+    total = np.sum([np.frombuffer(x.as_py(), "<f8") for x in table.column("weights")], axis=0)
+    return pa.table({"block": table.column("block").slice(0, 1), "salt": table.column("salt").slice(0, 1), "n": pa.array([sum(table.column("n").to_pylist())], pa.int64()), "weights": pa.array([total.tobytes()], pa.binary())})
+
+
+def fit(encoded: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
+    """The averaged weights, half a megabyte whatever the input. Sums go through salted groups first, so no task gathers all workers' weights."""
+    first = gru.flatten(gru.start(vocabulary.head, vocabulary.tail_c))
+    begin, learned = encoded.sparkSession.sparkContext.broadcast(first), vocabulary.learned
+    schema = "block int, salt int, n long, weights binary"
+    own = encoded.where(~F.col("held_out")).select("tokens")
+    sums = own.mapInArrow(lambda b: _train(b, learned, begin), schema).groupBy("block", "salt").applyInArrow(_sum_blocks, schema).groupBy("block").applyInArrow(_sum_blocks, schema)
+    blocks = sorted(sums.collect(), key=lambda r: r.block)
+    if not blocks:
+        return first
+    return (np.concatenate([np.frombuffer(bytes(r.weights), "<f8") for r in blocks]) / blocks[0].n).astype("<f4")
+
+
+def _score(batches: Iterator[pa.RecordBatch], learned: int, weights) -> Iterator[pa.RecordBatch]:
+    model = gru.restore(weights.value, learned, FORMS)
+    kept: list[pa.RecordBatch] = []
+    run: list[np.ndarray] = []
+
+    def scored() -> pa.RecordBatch:
+        rows = pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
+        model_part = gru.log_likelihood(model, run, learned) / math.log(10)
+        names = [*rows.schema.names, "score"]
+        return pa.RecordBatch.from_arrays([*rows.columns, pa.array(model_part + rows.column("inside").to_numpy())], names)
+
+    size = 0
+    for batch in batches:
+        at, tokens_of = 0, batch.column("tokens")
+        rest = batch.drop_columns(["tokens"])
+        for i, ids in enumerate(_ids(tokens_of), 1):
+            run.append(ids)
+            size += len(ids)
+            if size >= _FLUSH_TOKENS:
+                kept.append(rest.slice(at, i - at))
+                yield scored()
+                kept, run, size, at = [], [], 0, i
+        if at < batch.num_rows:
+            kept.append(rest.slice(at))
+    if run:
         yield scored()
 
 
 def score(docs: DataFrame, learned: int = LEARNED, known: int = KNOWN) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    sc = docs.sparkSession.sparkContext
     counts = count_words(docs)
     vocabulary = Vocabulary(counts, learned, known)
-    weights, shared = fit(docs, vocabulary)
-    model = docs.sparkSession.sparkContext.broadcast(weights)
-    rows = texts(docs).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(lambda b: _score(b, shared, model), _SCORED)
-    rows = written(rows, "scored")
-    rare = rows.select("rid", F.explode("rare").alias("r")).select("rid", "r.word", "r.n").join(counts.select("word", "c"), "word")
+    encoded = encode(docs, sc.broadcast(vocabulary))
+    model = sc.broadcast(fit(encoded, vocabulary))
+    rows = encoded.drop("rare").mapInArrow(lambda b: _score(b, learned, model), _ENCODED.replace(", tokens binary, rare array<struct<word:binary,n:int>>", ", score double"))
+    rare = encoded.select("rid", F.explode("rare").alias("r")).select("rid", "r.word", "r.n").join(counts.select("word", "c"), "word")
     rare = rare.groupBy("rid").agg(F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("more"), F.sum("n").alias("also"))
     more = F.coalesce("more", F.lit(0.0))
-    return (
-        rows.drop("rare")
-        .join(rare, "rid", "left")
-        .select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("also", F.lit(0))).alias("n_known"), F.lit(vocabulary.n).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("score") + more).alias("score"))
-    )
+    return rows.join(rare, "rid", "left").select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("also", F.lit(0))).alias("n_known"), F.lit(vocabulary.n).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("score") + more).alias("score"))
