@@ -18,12 +18,13 @@ from pyspark.sql import functions as F
 
 from ..functions import leaves
 from ..operators import dependence as dep
+from ..operators import splits
 from ..operators.workload_stats import split_queries
 
 
 @dataclass
 class Params:
-    """least_rows: share of the rows below which no more rows are split. steep, lower, upper: the adaptive threshold. coaccess: weight from which columns count as queried together."""
+    """least_rows: share of the rows below which no more rows are split. steep, lower, upper: the adaptive threshold. coaccess: weight from which columns count as queried together. by_rows: a name of splits.ROWS; by_columns: rdc or poisson; by_queries: maxcut or kmeans."""
 
     sample: int = 50_000
     least_rows: float = 0.01
@@ -32,6 +33,9 @@ class Params:
     upper: float = 0.3
     coaccess: float = 0.01
     cut: float = 0.7
+    by_rows: str = "kmeans"
+    by_columns: str = "rdc"
+    by_queries: str = "maxcut"
 
 
 @dataclass
@@ -73,7 +77,11 @@ def learn(rows: np.ndarray, boxes: np.ndarray, params: Params) -> Node:
             return Node("product", columns, children + ([grow(part, varied, queries, independent)] if varied else []), "constant")
         used = bounded(queries)[:, columns] if len(queries) else np.zeros((0, len(columns)), bool)
         together = (used.T.astype(float) @ used) / max(len(used), 1)
-        if not independent:
+        if not independent and params.by_columns == "poisson":
+            groups = splits.poisson_groups(some)
+            if len(groups) > 1:
+                return Node("product", columns, [grow(part, [columns[i] for i in g], queries, True) for g in groups], "data")
+        elif not independent:
             weights = dep.rdc(some)
             scale = (params.upper - params.lower) / (1 - np.exp(-params.steep))
             limit = np.exp(-params.steep * together) * scale + params.upper - scale
@@ -88,17 +96,22 @@ def learn(rows: np.ndarray, boxes: np.ndarray, params: Params) -> Node:
                 return Node("product", columns, [grow(part, [columns[i] for i in g], queries, True) for g in groups], "workload")
             masks = (used * (1 << np.arange(len(columns)))).sum(1)
             own, n = np.unique(masks[masks > 0], return_counts=True)
-            sides, cut = split_queries(list(zip(own.tolist(), n.tolist(), strict=True)), least=params.cut)
-            if len(sides) > 1 and cut >= params.cut:
+            groups = list(zip(own.tolist(), n.tolist(), strict=True))
+            if params.by_queries == "kmeans":
+                sides, _ = splits.split_queries_by_means(groups, len(columns))
+            else:
+                sides, cut = split_queries(groups, least=params.cut)
+                sides = sides if cut >= params.cut else []
+            if len(sides) > 1:
                 children = [grow(part, columns, queries[np.isin(masks, s)], False) for s in sides]
                 return Node("split", columns, children, masks=sides)
-        centres = dep.two_means(some)
+        centres = splits.row_centres(some, params.by_rows)
         full = dep.impute(some)
         label = dep.nearest(full, centres)
-        if min((label == 0).sum(), (label == 1).sum()) == 0:
+        if len(centres) < 2 or np.bincount(label, minlength=len(centres)).min() == 0:
             return alone()
         children = []
-        for i in (0, 1):
+        for i in range(len(centres)):
             mine = part[label == i]
             low, high = np.nanmin(mine, 0), np.nanmax(mine, 0)
             near = ((queries[..., 0] <= high) & (queries[..., 1] >= low)).all(1) if len(queries) else np.zeros(0, bool)
