@@ -1,14 +1,14 @@
 """Join estimation over binned keys: partition statistics, special values, recursive combination, merging; and bucket bounds.
 
 A table is a row for each combination of key bins, with its rows and distinct keys; special values, keys whose joins are largest,
-are kept apart by the caller. Estimates never touch base rows again.
+can have bins of their own of width 1. Estimates never touch base rows again.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -16,10 +16,23 @@ def key_bin(key: Column, width: float, low: float = 0.0) -> Column:
     return F.floor((key - F.lit(low)) / F.lit(float(width))).cast("long")
 
 
-def partition_stats(df: DataFrame, keys: dict[str, tuple[float, float]], selected: Column | None = None) -> DataFrame:
+def ranked(special: DataFrame) -> DataFrame:
+    """(v, rank) of special values, from 1; as many rows as special_values was asked for."""
+    return special.select("v", F.row_number().over(Window.orderBy(F.desc("size"), "v")).cast("long").alias("rank"))
+
+
+def special_bin(df: DataFrame, key: str, special: DataFrame, width: float, low: float = 0.0) -> DataFrame:
+    """df with `bin_<key>`: minus the rank of a special value (v, rank), else the bin of the key. The special values are a bounded top list, so they go to every task."""
+    s = F.broadcast(special.select(F.col("v").alias("__v"), F.col("rank").alias("__rank")))
+    return df.join(s, F.col(key).cast("long") == F.col("__v"), "left").withColumn(f"bin_{key}", F.coalesce(-F.col("__rank"), key_bin(F.col(key), width, low))).drop("__v", "__rank")
+
+
+def partition_stats(df: DataFrame, keys: dict[str, tuple[float, float]], selected: Column | None = None, special: dict[str, DataFrame] | None = None) -> DataFrame:
     """(bin_<key>, n, ndv_<key>, p) of each cell of key bins; keys: name -> (low, width). p is the share of rows that `selected` holds for. Distinct keys are counted exactly by grouping on the key first, in one more exchange per key, which stays even when one bin is hot."""
     bins = [f"bin_{k}" for k in keys]
-    rows = df.na.drop(subset=list(keys)).select(*[key_bin(F.col(k), width, low).alias(f"bin_{k}") for k, (low, width) in keys.items()], *keys, (F.lit(1.0) if selected is None else F.coalesce(selected.cast("double"), F.lit(0.0))).alias("hit"))
+    rows = df.na.drop(subset=list(keys)).select(*keys, (F.lit(1.0) if selected is None else F.coalesce(selected.cast("double"), F.lit(0.0))).alias("hit"))
+    for k, (low, width) in keys.items():
+        rows = special_bin(rows, k, special[k], width, low) if special and k in special else rows.withColumn(f"bin_{k}", key_bin(F.col(k), width, low))
     out = rows.groupBy(*bins).agg(F.count("*").alias("n"), (F.sum("hit") / F.count("*")).alias("p"))
     for k in keys:
         one = rows.groupBy(*bins, k).agg(F.lit(1).alias("one")).groupBy(*bins).agg(F.count("*").alias(f"ndv_{k}"))
@@ -50,13 +63,15 @@ def combine(parent: DataFrame, key: str, child: DataFrame, child_key: str) -> Da
 
 
 def merge(parts: DataFrame, key: str, width: float) -> DataFrame:
-    """Cells projected on one key: rows add up, distinct keys as of independent draws: w*(1-prod(1-ndv/w))."""
-    ndv = F.lit(float(width)) * (1 - F.product(1 - F.col(f"ndv_{key}") / F.lit(float(width))))
-    return parts.groupBy(f"bin_{key}").agg(F.sum("n").alias("n"), ndv.alias(f"ndv_{key}"))
+    """Cells projected on one key: rows add up, distinct keys as of independent draws: w*(1-prod(1-ndv/w)); bins of special values, below 0, are one key wide."""
+    w = F.when(F.col(f"bin_{key}") < 0, 1.0).otherwise(float(width))
+    free = F.product(F.greatest(1 - F.col(f"ndv_{key}") / w, F.lit(0.0)))
+    out = parts.groupBy(f"bin_{key}").agg(F.sum("n").alias("n"), free.alias("free"))
+    return out.select(f"bin_{key}", "n", (w * (1 - F.col("free"))).alias(f"ndv_{key}"))
 
 
-def estimate(tables: dict[str, tuple[DataFrame, dict[str, tuple[float, float]], Column | None]], joins: Sequence[tuple[str, str, str, str]], root: str | None = None) -> DataFrame:
-    """One row, `estimate`, of an acyclic equi-join. tables: name -> (rows, keys with (low, width), predicate); joins: (table, key, table, key)."""
+def estimate(tables: dict[str, tuple[DataFrame, dict[str, tuple[float, float]], Column | None]], joins: Sequence[tuple[str, str, str, str]], root: str | None = None, special: dict[str, DataFrame] | None = None) -> DataFrame:
+    """special: for each join key of every table (by column name) its class's special values (v, rank), the same in all tables of the class. One row, `estimate`, of an acyclic equi-join. tables: name -> (rows, keys with (low, width), predicate); joins: (table, key, table, key)."""
     if len(joins) != len(tables) - 1:
         raise ValueError("the join must be a tree")
     root = root or list(tables)[-1]
@@ -65,7 +80,7 @@ def estimate(tables: dict[str, tuple[DataFrame, dict[str, tuple[float, float]],
     def solve(name: str, up: str | None) -> DataFrame:
         df, keys, predicate = tables[name]
         used = [k for k in keys if any((a, ka) == (name, k) or (b, kb) == (name, k) for a, ka, b, kb in joins)]
-        parts = filtered(partition_stats(df, {k: keys[k] for k in used}, predicate), used)
+        parts = filtered(partition_stats(df, {k: keys[k] for k in used}, predicate, special), used)
         for a, ka, b, kb in joins:
             for (me, my_key), (other, other_key) in (((a, ka), (b, kb)), ((b, kb), (a, ka))):
                 if me == name and other not in seen:
@@ -94,6 +109,52 @@ def bucket_bound(a: DataFrame, b: DataFrame) -> DataFrame:
     return x.join(y, "bucket").select("bucket", bound.alias("bound"))
 
 
+def eliminate(tables: Sequence[DataFrame], share: float = 1.0) -> DataFrame:
+    """(bucket, estimate) of an equi-join of any number of tables on one key, from their bucket statistics; buckets that a table lacks fall away.
+
+    bound: the product of the commonest keys' rows times the least n/mcv. even: as if every key had as many rows, the keys of the table
+    with the most holding all others'. The estimate lies between them, even^(1-share) * bound^share.
+    """
+    every = tables[0].select("bucket", "n", "mcv_n", "ndv")
+    for t in tables[1:]:
+        every = every.unionByName(t.select("bucket", "n", "mcv_n", "ndv"))
+    bound = F.product(F.col("mcv_n").cast("double")) * F.min(F.col("n") / F.col("mcv_n"))
+    even = F.product(F.col("n") / F.col("ndv")) * F.min("ndv")
+    out = every.groupBy("bucket").agg(F.count("*").alias("k"), bound.alias("bound"), even.alias("even")).where(F.col("k") == len(tables))
+    return out.select("bucket", (F.pow("even", F.lit(1.0 - share)) * F.pow("bound", F.lit(share))).alias("estimate"))
+
+
+def bucket_filter(stats: DataFrame, first: int | None = None, last: int | None = None) -> DataFrame:
+    """The buckets that a range of the key reaches."""
+    out = stats if first is None else stats.where(F.col("bucket") >= first)
+    return out if last is None else out.where(F.col("bucket") <= last)
+
+
+def bucket_scale(stats: DataFrame, p: Column) -> DataFrame:
+    """Buckets of the rows that an independent predicate of selectivity p keeps; a bucket keeps no more keys than rows."""
+    n = F.col("n") * p
+    return stats.withColumn("ndv", F.least(F.col("ndv").cast("double"), n)).withColumn("mcv_n", F.col("mcv_n") * p).withColumn("n", n)
+
+
+def bucket_union(parts: Sequence[DataFrame]) -> DataFrame:
+    """(bucket, n, mcv_n, ndv) of a table from disjoint parts of its rows: rows add up, and so do the commonest key's rows and the distinct keys, which makes both bounds."""
+    every = parts[0].select("bucket", "n", "mcv_n", "ndv")
+    for t in parts[1:]:
+        every = every.unionByName(t.select("bucket", "n", "mcv_n", "ndv"))
+    return every.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ("n", "mcv_n", "ndv")])
+
+
+def paired_keys(weights: dict[tuple[str, str], float], least: float) -> list[tuple[str, ...]]:
+    """Key classes in groups of two at most: the most dependent free pair first, while its dependence is `least` or more; the rest alone."""
+    taken: set[str] = set()
+    out: list[tuple[str, ...]] = []
+    for pair in sorted(weights, key=lambda e: (-weights[e], e)):
+        if weights[pair] >= least and not taken & set(pair):
+            out.append(pair)
+            taken |= set(pair)
+    return out + [(k,) for k in sorted({k for pair in weights for k in pair} - taken)]
+
+
 def outer_scatter(a: DataFrame, b: DataFrame, key_a: str, key_b: str) -> DataFrame:
     """(k, n_a, n_b, rows, scatter_a, scatter_b): the full outer join by key, already counted: rows it has, and the weight 1/count with which each side's row counts once. Keys are counted before they meet, so a hot key is one row."""
     x = a.groupBy(F.col(key_a).cast("long").alias("k")).agg(F.count("*").alias("n_a")).where("k is not null")

@@ -7,9 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import densities
-from . import chow_liu, factorize, join_variants
+from ..operators import splits
+from ..operators import workload_stats as ws
+from . import chow_liu, factorize, join_variants, transforms
 from . import join_model as jm
-from .queries import _BINS, _DUCK, _add, _bins, _table, range_workload
+from .queries import _BINS, _BUCKETS, _DUCK, COLUMNS, _add, _bins, _buckets, _table, range_workload
+from .tree import Model, Node
 
 _PIECES = f"""{_BINS}, s AS (SELECT col, v AS x0, pdf AS y0, lead(v) OVER (PARTITION BY col ORDER BY v) AS x1, lead(pdf) OVER (PARTITION BY col ORDER BY v) AS y1 FROM b),
 ar AS (SELECT col, sum((x1 - x0) * (y0 + y1) / 2) AS area FROM s WHERE x1 IS NOT NULL GROUP BY col), pc AS (SELECT s.col, x0, x1, y0 / area AS y0, y1 / area AS y1 FROM s JOIN ar ON s.col = ar.col WHERE x1 IS NOT NULL)"""
@@ -167,3 +170,60 @@ SELECT z.qid, round(coalesce(sum(n * a * b), 0), 3) AS estimate FROM z LEFT JOIN
 def factorized_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     node = factorize.Factorized.fit(_table(spark, sf_dir, "lineitem"), ["l_linenumber", "l_tax"], ["l_quantity", "l_discount"], {"l_linenumber": [3.0]})
     return _rounded(node.estimate(range_workload(spark)), 3, "estimate")
+
+
+_SPECIAL = """sp AS (SELECT v, row_number() OVER (ORDER BY size DESC, v) AS r FROM (SELECT v, CAST(product(n) AS DOUBLE) AS size FROM (SELECT o_custkey AS v, count(*) AS n FROM orders GROUP BY 1 UNION ALL SELECT c_custkey, count(*) FROM customer GROUP BY 1) GROUP BY v ORDER BY size DESC, v LIMIT 30)),
+o AS (SELECT coalesce(-r, floor(o_custkey / 100.0)) AS b, count(*)::DOUBLE AS n, count(DISTINCT o_custkey)::DOUBLE AS d, avg(CASE WHEN o_totalprice > 200000 THEN 1.0::DOUBLE ELSE 0.0 END) AS p FROM orders LEFT JOIN sp ON o_custkey = v GROUP BY 1),
+c AS (SELECT coalesce(-r, floor(c_custkey / 100.0)) AS b, count(*)::DOUBLE AS n, count(DISTINCT c_custkey)::DOUBLE AS d, avg(CASE WHEN c_mktsegment = 'BUILDING' THEN 1.0::DOUBLE ELSE 0.0 END) AS p FROM customer LEFT JOIN sp ON c_custkey = v GROUP BY 1),
+fo AS (SELECT b, n * p AS n, d * (1 - pow(1 - p, n / d)) AS d FROM o), fc AS (SELECT b, n * p AS n, d * (1 - pow(1 - p, n / d)) AS d FROM c WHERE p > 0)"""
+
+
+@_add(f"WITH {_SPECIAL} SELECT round(sum(fo.n * fc.n / fc.d * CASE WHEN fo.d > 0 THEN least(1.0, fc.d / fo.d) ELSE 1.0 END), 3) AS estimate FROM fo JOIN fc ON fo.b = fc.b")
+def special_join_est(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders, customer = _table(spark, sf_dir, "orders"), _table(spark, sf_dir, "customer")
+    top = jm.ranked(jm.special_values([(orders, "o_custkey"), (customer, "c_custkey")], 30))
+    tables = {"customer": (customer, {"c_custkey": (0, 100)}, F.col("c_mktsegment") == "BUILDING"), "orders": (orders, {"o_custkey": (0, 100)}, F.col("o_totalprice") > 200000)}
+    est = jm.estimate(tables, [("customer", "c_custkey", "orders", "o_custkey")], special={"o_custkey": top, "c_custkey": top})
+    return est.select(F.round("estimate", 3).alias("estimate"))
+
+
+@_add(f"WITH a AS ({_BUCKETS.format(k='l_orderkey', t='lineitem')}), b AS ({_BUCKETS.format(k='o_orderkey', t='orders')}), u AS (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM b) SELECT bucket, round(sqrt(product(CAST(mcv_n AS DOUBLE)) * min(CAST(n AS DOUBLE) / mcv_n) * product(CAST(n AS DOUBLE) / ndv) * min(ndv)), 4) AS estimate FROM u GROUP BY bucket HAVING count(*) = 3")
+def eliminated_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _buckets(spark, sf_dir, "orders", "o_orderkey")
+    return _rounded(jm.eliminate([_buckets(spark, sf_dir, "lineitem", "l_orderkey"), o, o], 0.5), 4, "estimate")
+
+
+@_add(f"WITH a AS ({_BUCKETS.format(k='l_orderkey', t='lineitem')}) SELECT bucket, n * CAST(0.25 AS DOUBLE) AS n, mcv_n * CAST(0.25 AS DOUBLE) AS mcv_n, least(CAST(ndv AS DOUBLE), n * CAST(0.25 AS DOUBLE)) AS ndv FROM a WHERE bucket BETWEEN 0 AND 9")
+def scaled_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = jm.bucket_filter(_buckets(spark, sf_dir, "lineitem", "l_orderkey"), 0, 9)
+    return jm.bucket_scale(stats, F.lit(0.25)).select("bucket", "n", "mcv_n", "ndv")
+
+
+def _independent(spark: SparkSession, sf_dir: str) -> Model:
+    root = Node("product", list(range(len(COLUMNS))), [Node("leaf", [i]) for i in range(len(COLUMNS))], "data")
+    for i, node in enumerate(root.walk()):
+        node.number = i
+    return Model.fit(_table(spark, sf_dir, "lineitem"), COLUMNS, np.zeros((0, len(COLUMNS), 2)), root=root)
+
+
+@_add(f"WITH {_BINS} SELECT l_linenumber, count(*) AS n, round(avg(ln(q.pdf) + ln(d.pdf) + ln(t.pdf) + ln(m.pdf)), 8) AS log_likelihood FROM lineitem JOIN b q ON q.col = 'l_quantity' AND q.v = l_quantity JOIN b d ON d.col = 'l_discount' AND d.v = l_discount JOIN b t ON t.col = 'l_tax' AND t.v = l_tax JOIN b m ON m.col = 'l_linenumber' AND m.v = l_linenumber GROUP BY 1")
+def row_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = transforms.likelihood(_independent(spark, sf_dir), _table(spark, sf_dir, "lineitem").select(*[F.col(c).cast("double").alias(c) for c in COLUMNS]))
+    return rows.groupBy(F.col("l_linenumber").cast("int").alias("l_linenumber")).agg(F.count("*").alias("n"), F.round(F.avg("log_likelihood"), 8).alias("log_likelihood"))
+
+
+@_add(f"WITH {_BINS} SELECT CAST(k AS INT) AS k, round(sum(pdf * pow(v, k)) / sum(pdf), 5) AS value FROM b, range(1, 4) t(k) WHERE col = 'l_quantity' AND v BETWEEN 10 AND 30 GROUP BY k")
+def conditional_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lo, hi = np.full(len(COLUMNS), -np.inf), np.full(len(COLUMNS), np.inf)
+    lo[0], hi[0] = 10, 30
+    model = _independent(spark, sf_dir)
+    return spark.createDataFrame([(k, round(transforms.moment(model, "l_quantity", k, lo, hi), 5)) for k in (1, 2, 3)], "k int, value double")
+
+
+def query_split_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = sorted((r.mask, r.n) for r in ws.mask_groups(range_workload(spark), COLUMNS).collect())
+    sides, quality = splits.split_queries_by_means(groups, len(COLUMNS))
+    return spark.createDataFrame([(i, m, quality) for i, s in enumerate(sides) for m in s], "side int, mask long, silhouette double")
+
+
+_add()(query_split_means)

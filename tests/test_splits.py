@@ -108,3 +108,25 @@ def test_mixture(spark):
     low, high = sorted(densities.mixture(df, "x"), key=lambda p: p["mean"])
     assert abs(low["weight"] - 0.6) < 0.01 and abs(low["mean"]) < 0.2 and abs(high["mean"] - 20) < 0.4 and abs(high["stdev"] - 2) < 0.3
     assert densities.mixture(df.limit(0), "x") == []
+
+
+def test_pairs_of_keys_and_bucket_parts(spark):
+    from sievetree.plans import join_model as jm
+
+    assert jm.paired_keys({("a", "b"): 0.9, ("b", "c"): 0.95, ("a", "c"): 0.1}, 0.5) == [("b", "c"), ("a",)]
+    t = spark.createDataFrame([(k,) for k in [0, 0, 0, 1, 5, 5, 9]], "k long")
+    whole = {r.bucket: r for r in jm.bucket_stats(t, "k", 2, 0, 9).collect()}
+    for r in jm.bucket_union([jm.bucket_stats(t.where("k < 5"), "k", 2, 0, 9), jm.bucket_stats(t.where("k >= 5"), "k", 2, 0, 9)]).collect():
+        assert (r.n, r.ndv) == (whole[r.bucket].n, whole[r.bucket].ndv) and r.mcv_n >= whole[r.bucket].mcv_n
+
+
+def test_special_values_make_a_skewed_join_exact(spark):
+    from sievetree.plans import join_model as jm
+
+    a = spark.createDataFrame([(0,)] * 500 + [(k,) for k in range(1, 50)] + [(None,)], "k long")
+    b = spark.createDataFrame([(0,)] * 300 + [(k,) for k in range(1, 50)], "j long")
+    top = jm.ranked(jm.special_values([(a, "k"), (b, "j")], 1))
+    tables = {"a": (a, {"k": (0, 50)}, None), "b": (b, {"j": (0, 50)}, None)}
+    joins = [("a", "k", "b", "j")]
+    assert abs(jm.estimate(tables, joins, special={"k": top, "j": top}).first().estimate - (500 * 300 + 49)) < 1
+    assert jm.estimate(tables, joins).first().estimate < 10_000
