@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import densities
+from ..functions import densities, leaves, parametric
 from ..operators import splits
 from ..operators import workload_stats as ws
 from . import chow_liu, factorize, join_variants, transforms
@@ -227,3 +227,26 @@ def query_split_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _add()(query_split_means)
+
+
+_FIT = """f AS (SELECT avg(x) AS m, stddev_pop(x) AS s, min(x) AS a, max(x) AS z, avg(ln(x)) AS lm, stddev_pop(ln(x)) AS ls, count(x) / sum(x) AS g, avg(CASE WHEN x > 0 THEN 1.0::DOUBLE ELSE 0.0 END) AS bp FROM (SELECT CAST(l_quantity AS DOUBLE) AS x FROM lineitem)),
+h AS (SELECT *, (3 - (ln(m) - lm) + sqrt(pow(ln(m) - lm - 3, 2) + 24 * (ln(m) - lm))) / (12 * (ln(m) - lm)) AS al FROM f)"""
+
+
+@_add(
+    f"""WITH {_FIT}, q AS (SELECT CAST(range AS BIGINT) AS qid, CAST(range AS DOUBLE) AS x FROM range(60))
+SELECT qid, round(exp(-pow((x - m) / s, 2) / 2) / (s * sqrt(2 * pi())), 9) AS gaussian, round(exp(-x / m) / m, 9) AS exponential, round(CASE WHEN x BETWEEN a AND z THEN 1 / (z - a) ELSE 0 END, 9) AS uniform,
+round(CASE WHEN x > 0 THEN exp(-pow((ln(greatest(x, 1e-9)) - lm) / ls, 2) / 2) / (greatest(x, 1e-9) * ls * sqrt(2 * pi())) ELSE 0 END, 9) AS lognormal, round(exp(x * ln(m) - m - lgamma(x + 1)), 9) AS poisson, round(CASE WHEN x >= 1 THEN pow(1 - g, x - 1) * g ELSE 0 END, 9) AS geometric,
+round(CASE WHEN x = 1 THEN bp WHEN x = 0 THEN 1 - bp ELSE 0 END, 9) AS bernoulli, round(CASE WHEN x > 0 THEN exp(al * ln(al / m) + (al - 1) * ln(greatest(x, 1e-9)) - al / m * x - lgamma(al)) ELSE 0 END, 9) AS gamma FROM q, h"""
+)
+def parametric_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = spark.range(60).select(F.col("id").alias("qid"), F.col("id").cast("double").alias("x"), F.lit(1).alias("one"))
+    fitted = leaves.fit(_table(spark, sf_dir, "lineitem"), "l_quantity").withColumn("one", F.lit(1))  # one row
+    rows = points.join(F.broadcast(fitted), "one")
+    return rows.select("qid", *[F.round(parametric.density(f, F.col("x")), 9).alias(f) for f in parametric.FAMILIES])
+
+
+@_add(f"WITH {_FIT} SELECT round(m, 7) AS gaussian, 0.0::DOUBLE AS exponential, a AS uniform, round(exp(lm - ls * ls), 7) AS lognormal, CAST(ceil(m) - 1 AS DOUBLE) AS poisson, 1.0::DOUBLE AS geometric, CASE WHEN bp > 0.5 THEN 1.0::DOUBLE ELSE 0.0 END AS bernoulli, round((al - 1) / (al / m), 7) AS gamma FROM h")
+def parametric_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fitted = leaves.fit(_table(spark, sf_dir, "lineitem"), "l_quantity")
+    return fitted.select(*[F.round(parametric.mode(f), 7).alias(f) for f in parametric.FAMILIES])

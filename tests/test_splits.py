@@ -130,3 +130,19 @@ def test_special_values_make_a_skewed_join_exact(spark):
     joins = [("a", "k", "b", "j")]
     assert abs(jm.estimate(tables, joins, special={"k": top, "j": top}).first().estimate - (500 * 300 + 49)) < 1
     assert jm.estimate(tables, joins).first().estimate < 10_000
+
+
+def test_parametric_draws(spark):
+    from pyspark.sql import functions as F
+
+    from sievetree.functions import leaves, parametric
+
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame([(float(v),) for v in rng.geometric(0.3, 3000)], "x double")
+    one = leaves.fit(df, "x").first().asDict()
+    rows = spark.range(20000).select(*[F.lit(float(v)).alias(k) for k, v in one.items()])
+    for family in ("gaussian", "exponential", "geometric"):
+        assert abs(rows.agg(F.avg(parametric.draw(family, 3))).first()[0] - one["gaussian_mean"]) < 0.15
+    assert rows.limit(1).select(parametric.density("gamma", F.lit(None))).first()[0] == 1.0
+    with pytest.raises(ValueError):
+        parametric.density("none", F.lit(1))
