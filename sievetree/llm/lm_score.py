@@ -246,7 +246,9 @@ def _score(batches: Iterator[pa.RecordBatch], learned: int, weights) -> Iterator
 
 
 def score(docs: DataFrame, learned: int = LEARNED, known: int = KNOWN) -> DataFrame:
-    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. Token numbers have two bytes, so `learned` is at most 65536 - FORMS."""
+    if learned + FORMS > 1 << 16:
+        raise ValueError("too many learned words for token numbers of two bytes")
     sc = docs.sparkSession.sparkContext
     counts = count_words(docs)
     vocabulary = Vocabulary(counts, learned, known)

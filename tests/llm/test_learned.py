@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from sievetree.llm import gru, lm_score, quality
 
@@ -85,3 +86,24 @@ def test_lm_scores(spark, awkward, nothing):
         assert sorted((r.doc_id is None, r.doc_id or 0, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
         assert all(r.score < 0 and math.isfinite(r.score) for r in got)
     assert lm_score.score(nothing).count() == 0
+
+
+def test_scoring_in_runs_is_scoring_at_once(monkeypatch):
+    """Where a run of documents ends, also inside a batch, does not change scores or lose rows; a vocabulary beyond two bytes is refused."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    ids = [rng.integers(0, 64 + lm_score.FORMS, k).astype("<u2") for k in (1, 40, 3, 90, 7, 1, 25)]
+    weights = SimpleNamespace(value=gru.flatten(gru.start(np.ones(64), np.ones(lm_score.FORMS))))
+    batch = pa.record_batch({"rid": pa.array(range(7)), "inside": pa.array([-1.0 * k for k in range(7)]), "tokens": pa.array([x.tobytes() for x in ids], pa.binary())})
+    found = []
+    for most in (10**9, 50):
+        monkeypatch.setattr(lm_score, "_FLUSH_TOKENS", most)
+        out = pa.Table.from_batches(lm_score._score(iter([batch.slice(0, 4), batch.slice(4)]), 64, weights))
+        assert out.column("rid").to_pylist() == list(range(7))
+        found.append(out.column("score").to_numpy())
+    assert np.allclose(found[0], found[1], atol=1e-4)
+    with pytest.raises(ValueError):
+        lm_score.score(None, learned=1 << 16)
