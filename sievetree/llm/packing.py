@@ -7,8 +7,8 @@ and the rest into pieces of exactly C/2, C/4, C/8 and so on, a document's binary
 exactly C/k. When a worker's rows end, the bins of each class that are not full are closed as sequences of a power of two of
 tokens, which need no padding either. At most C-1 pieces wait in a worker at any time.
 
-A document is its token ids and then the id `end`. Ids are those of the tokenizer file; its ranks, kept beside it, give the same
-ids through the package's own encoder, which is several times faster.
+A document is its token ids and then the id `end`. Ids are those of the tokenizer file: its added tokens are cut out of the text
+first, and its ranks, kept beside it, give the ids of what lies between through the package's own encoder, which is several times faster.
 
 Defined results: null and empty texts are the id `end` alone; each row is packed, repeated rows and rows without an id too;
 sequence ids are (partition, number), unique in one result; empty in, empty out. Other columns are never read.
@@ -16,7 +16,11 @@ sequence ids are (partition, number), unique in one result; empty in, empty out.
 
 from __future__ import annotations
 
+import json
+import os
+import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -73,14 +77,37 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:6]), pa.array(columns[6], pa.binary())], ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
 
 
+@lru_cache(2)
+def added_tokens(path: str) -> dict[str, int]:
+    """Of the tokenizer file beside the rank file; none where there is no such file."""
+    beside = os.path.splitext(path)[0] + ".json"
+    if not os.path.exists(beside):
+        return {}
+    with open(beside, encoding="utf-8") as f:
+        found = json.load(f).get("added_tokens") or []
+    if odd := [t["content"] for t in found if t.get("single_word") or t.get("lstrip") or t.get("rstrip")]:
+        raise ValueError(f"added tokens that take their surroundings are not supported: {odd}")
+    return {t["content"]: t["id"] for t in found}
+
+
+def encode(codec: bpe.Encoder, some: list[str], added: dict[str, int]) -> list[np.ndarray]:
+    """Ids of each text; an added token is one id wherever it stands, the longest where several begin."""
+    if not any(a in t for t in some for a in added):
+        return codec.encode(some)
+    apart = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
+    parts = [apart.split(t) for t in some]
+    between = iter(codec.encode([p for x in parts for p in x[::2]]))
+    return [np.concatenate([np.array([added[p]], "<u4") if k % 2 else next(between) for k, p in enumerate(x)]) for x in parts]
+
+
 def _pack(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end: int) -> Iterator[pa.RecordBatch]:
-    codec = bpe.encoder(path)
+    codec, added = bpe.encoder(path), added_tokens(path)
     context = TaskContext.get()
     bins = Bins(capacity, (context.partitionId() if context else 0) << 40)
     tail = np.array([end], "<u4").tobytes()
     for doc_ids, some in runs(batches):
         out: list[tuple] = []
-        for doc_id, tokens in zip(doc_ids.to_pylist(), codec.encode(some), strict=True):
+        for doc_id, tokens in zip(doc_ids.to_pylist(), encode(codec, some, added), strict=True):
             raw, n, at = tokens.tobytes() + tail, len(tokens) + 1, 0
             for size in cut(n, capacity):
                 out += bins.put((doc_id, at, size, n, raw[4 * at : 4 * (at + size)]))
