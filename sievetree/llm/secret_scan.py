@@ -145,8 +145,19 @@ def redacted(text: Column, found: Column, mark: str = "[SECRET]") -> Column:
     return F.when(F.size(found) == 0, text).otherwise(F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
 
 
+#: A private key's BEGIN line, and what follows it: all up to the END line, or the base64 lines where a text ends before one.
+_KEY = r"(-----BEGIN (?:RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----)(?:[A-Za-z0-9+/=\s:,\\-]*?-----END (?:RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----|(?:\s{1,4}[A-Za-z0-9+/=]{40,100})++(?:\s{1,4}[A-Za-z0-9+/]{1,39}={0,2}(?![^\s]))?)"
+
+
+def without_key_bodies(text: Column) -> Column:
+    """The text with only the BEGIN line of each private key, which the rule of that kind finds."""
+    return F.when(F.contains(text, F.lit("PRIVATE KEY-----")), F.regexp_replace(text, _KEY, "$1")).otherwise(text)
+
+
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]") -> DataFrame:
-    """docs, all columns and rows, with every span in the text replaced; n_chars, if there, follows. Texts without spans, also null ones, stay as they are."""
+    """docs, all columns and rows, with every span in the text replaced, a private key to its end; n_chars, if there, follows. Texts without spans, also null ones, stay as they are."""
+    if any(r.kind == "private_key" for r in rules):
+        docs = docs.withColumn("text", without_key_bodies(F.col("text")))
     rows = _marked(docs, rules)
     changed = F.size("__found") > 0
     rows = rows.withColumn("text", F.when(changed, redacted(F.col("text"), F.col("__found"), mark)).otherwise(F.col("text")))
