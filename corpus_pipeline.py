@@ -1,4 +1,4 @@
-"""A training corpus from `documents`: quality classifier, exact dedup, SimHash near-dedup, secret scan, packing.
+"""A training corpus from `documents`: quality classifier, exact dedup, near-dedup, secret scan, packing.
 
 Each stage is one operator over all rows its predecessor kept. Stages but the last return the columns of documents; the secret
 scan replaces what it finds in the text and corrects n_chars. The packing query's rows are the result.
@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievetree.llm import exact_dedup, packing, quality, secret_scan, simhash
+from sievetree.llm import exact_dedup, packing, quality, secret_scan, similar
 from sievetree.llm.common import load, scratch
 
 #: SQL can express neither the classifier nor the tokenizer; tests hold the stages against brute force.
@@ -24,7 +24,7 @@ def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.dedup(docs)
+    return similar.dedup(docs)
 
 
 def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.digests(docs)
 
 
-STAGES = [("quality classifier", good_quality), ("exact dedup", distinct_texts), ("simhash near-dedup", no_near_copies), ("secret scan", no_secrets), ("packing", packed)]
+STAGES = [("quality classifier", good_quality), ("exact dedup", distinct_texts), ("near-dedup", no_near_copies), ("secret scan", no_secrets), ("packing", packed)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
