@@ -1,5 +1,13 @@
 """Line deduplication by pairwise alignment.
 
+The query op5_line_dedup uses `dedup_blocks`: a line of a later document goes if it lies in a block, a run of neighbouring lines equal to
+a run of neighbouring lines of any one earlier document, of at least `min_words` words. All occurrences count, in both documents and
+in any order. Nothing is capped: each line starts the shortest run of `min_words` words from it on and ends the shortest one up to it; a
+block is the union of such runs in it, and which runs there are depends on their own lines only, so the earlier document has the
+same. A later document's run goes if an earlier one has a run of the same hash; the earliest one is as good as all of them.
+
+`dedup` is the rule that the query had before, kept as its tests describe it:
+
 Documents are ordered by id. A line is paired with the earliest document that has it, so a line that n documents share makes n-1
 rows, not n*(n-1)/2, and no frequent line has to be dropped or capped. The rows of a later document then say, for each earlier
 document that it overlaps, which of its lines stand where in the other. They are aligned as patience diff does: lines that occur
@@ -16,17 +24,20 @@ result. Empty in, empty out. Other columns are never read.
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import texts, written
 
 MIN_WORDS = 10
+_BLANKS = re.compile("[ \t]+")
 
 
 def patience(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -140,9 +151,91 @@ def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return rows.mapInArrow(lambda b: _align(b, min_words), "id long, th long, gone array<boolean>")
 
 
+def runs_of(lines: list[str], min_words: int = MIN_WORDS) -> set[tuple[int, int]]:
+    """(first, last) of the shortest runs of at least min_words words from each line on and up to each line; empty lines end a run."""
+    words = [len(_BLANKS.split(x.strip(" "))) if x else 0 for x in lines]
+    out: set[tuple[int, int]] = set()
+    at = 0
+    while at < len(lines):
+        end = at
+        while end < len(lines) and lines[end]:
+            end += 1
+        first, last, total = at, at, 0
+        for last in range(at, end):  # up to each line
+            total += words[last]
+            while total - words[first] >= min_words:
+                total -= words[first]
+                first += 1
+            if total >= min_words:
+                out.add((first, last))
+        first, last, total = end - 1, end - 1, 0
+        for first in range(end - 1, at - 1, -1):  # from each line on
+            total += words[first]
+            while total - words[last] >= min_words:
+                total -= words[last]
+                last -= 1
+            if total >= min_words:
+                out.add((first, last))
+        at = end + 1
+    return out
+
+
+def _runs(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
+    names = ["id", "th", "n_lines", "first", "last", "h1", "h2"]
+
+    def shipped(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    for batch in batches:
+        rows: list[tuple] = []
+        for i, th, text in zip(batch.column("doc_id"), batch.column("th"), batch.column("text"), strict=True):
+            i, th, lines = i.as_py(), th.as_py(), text.as_py().split("\n")
+            for first, last in runs_of(lines, min_words):
+                digest = xxhash.xxh3_128_digest("\n".join(lines[first : last + 1]).encode("utf-8", "surrogatepass"))
+                rows.append((i, th, len(lines), first, last, int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)))
+            if len(rows) >= 20_000:
+                yield shipped(rows)
+                rows = []
+        if rows:
+            yield shipped(rows)
+
+
+def _masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        gone = []
+        for n, spans in zip(batch.column("n_lines").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            mask = np.zeros(n, bool)
+            for span in spans:
+                mask[span["first"] : span["last"] + 1] = True
+            gone.append(mask.tolist())
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("th"), pa.array(gone, pa.list_(pa.bool_()))], ["id", "th", "gone"])
+
+
+def block_deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(id, th, gone): for each document with lines in blocks that an earlier one has, which of its lines go."""
+    runs = texts(docs).select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(lambda b: _runs(b, min_words), "id long, th long, n_lines int, first int, last int, h1 long, h2 long")
+    who = F.struct(F.col("id").isNull().alias("none"), "id", "th")
+    owner = runs.groupBy("h1", "h2").agg(F.min(who).alias("o"), F.max(who).alias("z")).where(~F.col("o").eqNullSafe(F.col("z")))
+    # Written, so that the join below deals both sides by itself and a run that very many documents share can be split.
+    owner = written(owner.select("h1", "h2", F.col("o.id").alias("o_id"), F.col("o.th").alias("o_th")), "run-owners")
+    hits = runs.join(owner, ["h1", "h2"]).where(~(F.col("id").eqNullSafe(F.col("o_id")) & (F.col("th") == F.col("o_th"))))
+    spans = hits.groupBy("id", "th").agg(F.max("n_lines").alias("n_lines"), F.collect_list(F.struct("first", "last")).alias("spans"))
+    return spans.mapInArrow(_masks, "id long, th long, gone array<boolean>")
+
+
+def dedup_blocks(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """One row per document: doc_id, text without the lines deleted, n_lines, n_deleted."""
+    return _without(docs, block_deletions(docs, min_words))
+
+
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """One row per document: doc_id, text without the lines deleted, n_lines, n_deleted."""
-    gone = written(deletions(docs, min_words), "line-deletions").hint("merge")
+    return _without(docs, deletions(docs, min_words))
+
+
+def _without(docs: DataFrame, deleted: DataFrame) -> DataFrame:
+    gone = written(deleted, "line-deletions").hint("merge")
     rows = texts(docs).withColumn("th", F.xxhash64("text")).alias("d").join(gone.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.id")) & (F.col("d.th") == F.col("g.th")), "left")
     lines = F.split("text", "\n", -1)
     rows = rows.select("d.doc_id", "d.text", "g.gone")

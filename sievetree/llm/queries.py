@@ -29,7 +29,7 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clean = line_dedup.dedup(load(spark, sf_dir))
+    clean = line_dedup.dedup_blocks(load(spark, sf_dir))
     return clean.select("doc_id", "n_lines", "n_deleted", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
