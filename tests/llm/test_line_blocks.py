@@ -38,6 +38,12 @@ def test_a_block_whose_lines_first_occur_in_different_documents(spark):
     assert got(spark, rows) == {1: nine("a"), 2: nine("b"), 3: nine("c"), 4: f"mine\n{block}", 5: "other"}
 
 
+def test_passages_that_either_document_repeats(spark):
+    block = "\n".join(map(nine, "abc"))
+    rows = [(1, f"{block}\nx\n{block}"), (2, f"p\n{block}\nq"), (3, f"{block}\ny\n{block}")]
+    assert got(spark, rows) == {1: rows[0][1], 2: "p\nq", 3: "y"}
+
+
 def test_against_all_earlier_documents(spark):
     rng = random.Random(8)
     lines = ["", *[" ".join(f"v{k}{j}" for j in range(rng.choice([1, 2, 3, 4, 6, 9, 12]))) for k in range(14)]]
