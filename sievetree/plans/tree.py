@@ -193,7 +193,9 @@ class Model:
             numbers = [F.col(c).cast("double").alias(c) for c in columns]
             share = min(1.0, 2.0 * params.sample / max(total, 1))
             sample = df.select(*numbers) if share >= 1 else df.select(*numbers).sample(False, share, 17)
-            rows = np.array([tuple(np.nan if x is None else x for x in r) for r in sample.limit(params.sample).collect()], float).reshape(-1, len(columns))
+            # In random order, as a bare limit takes the first partitions' rows.
+            some = sample.orderBy(F.rand(18)).limit(params.sample).collect()
+            rows = np.array([tuple(np.nan if x is None else x for x in r) for r in some], float).reshape(-1, len(columns))
             root = learn(rows, boxes, params) if len(rows) else Node("product", list(range(len(columns))), [Node("leaf", [i]) for i in range(len(columns))], "data")
             for i, node in enumerate(root.walk()):
                 node.number = i
