@@ -47,11 +47,10 @@ def rdc(rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def rdc_by_slice(df: DataFrame, columns: Sequence[str], by: str, most: int = 10_000) -> DataFrame:
-    """(by, i, j, rdc) for each slice, on `most` of its rows at most (those of the smallest hash), a task a slice."""
-    key = F.xxhash64(*columns, F.lit(SEED))
+def rdc_by_slice(df: DataFrame, columns: Sequence[str], by: str, most: int = 50_000) -> DataFrame:
+    """(by, i, j, rdc) for each slice, on about `most` of its rows at most (at random), a task a slice."""
     share = df.groupBy(by).agg(F.count("*").alias("__n"))
-    sample = df.select(by, *[F.col(c).cast("double").alias(c) for c in columns], (F.shiftrightunsigned(key, 1) / F.lit(float(2**63))).alias("__u")).join(F.broadcast(share), by).where(F.col("__u") * F.col("__n") <= most)
+    sample = df.select(by, *[F.col(c).cast("double").alias(c) for c in columns], F.rand(SEED).alias("__u")).join(F.broadcast(share), by).where(F.col("__u") * F.col("__n") <= most)
 
     def one(table: pa.Table) -> pa.Table:
         matrix = rdc(np.column_stack([table.column(c).to_numpy(zero_copy_only=False) for c in columns]))

@@ -60,7 +60,7 @@ class Updater:
         return self.spark.read.schema(df.schema).parquet(target)
 
     def _sample(self, df: DataFrame, n: int = 5000) -> np.ndarray:
-        ordered = df.orderBy(F.xxhash64(*self.columns, F.lit(17))).limit(n)
+        ordered = df.orderBy(F.rand(17)).limit(n)
         return np.array([tuple(np.nan if x is None else x for x in r) for r in ordered.collect()], float).reshape(-1, len(self.columns))
 
     def insert(self, new: DataFrame) -> list[int]:
