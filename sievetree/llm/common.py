@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,12 +24,14 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and every executor see: spark.checkpoint.dir. Only where it is unset (tests on one machine) a temporary one is made."""
+    """The folder that the driver and every executor see: spark.checkpoint.dir. Where it is unset, a session on one machine gets a temporary one; on a cluster that is an error, as executors would not see it."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     jsc = spark.sparkContext._jsc.sc()
     if configured is None and jsc.getCheckpointDir().isDefined():
         configured = jsc.getCheckpointDir().get()
     if configured is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="sievetree-")
         spark.sparkContext.setCheckpointDir(configured)
         configured = jsc.getCheckpointDir().get()
@@ -38,9 +42,28 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/sievetree/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
-    """df as Parquet in the shared folder, read again: lineage ends there, and a lost executor costs nothing that is behind it."""
-    path = path or scratch(df.sparkSession, label)
+#: Tables of the steps that are under way, innermost last: see `temporary`.
+_steps: list[list[str]] = []
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are removed at the end, but for those written with `kept`, which belong to the step around it, if any. What leaves the step must not read removed ones."""
+    _steps.append([])
+    try:
+        yield
+    finally:
+        for path in _steps.pop():
+            remove(spark, path)
+
+
+def written(df: DataFrame, label: str, path: str | None = None, kept: bool = False) -> DataFrame:
+    """df as Parquet in the shared folder, read again: lineage ends there, and a lost executor costs nothing that is behind it. Tables at a path of the caller's are the caller's to remove."""
+    owner = len(_steps) - 1 - kept
+    if path is None:
+        path = scratch(df.sparkSession, label)
+        if owner >= 0:
+            _steps[owner].append(path)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -50,6 +73,12 @@ def remove(spark: SparkSession, path: str) -> None:
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, whose doc_id is not in ids (one column doc_id); rows without an id stay. Whatever docs' columns are called, they never meet the other side's."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"))
+    return rows.join(ids.select("doc_id").distinct(), F.col("id") == F.col("doc_id"), "left_anti").select("row.*")
+
+
 def crc32_of_id(doc_id: Column) -> Column:
     """crc32 of the id's decimal text; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
