@@ -2,10 +2,13 @@
 
 Harmonic packing deals lengths into classes (C/(k+1), C/k] and fills a bin of class k with exactly k items, class by class, with
 no look at other classes: every worker packs its own rows, there is no shuffle, and a lost worker's rows are packed again alike.
-Its waste is what a length lacks to C/k. As documents may be cut, they are cut so that nothing is lacking: into full sequences,
-and the rest into pieces of exactly C/2, C/4, C/8 and so on, a document's binary digits. Class k = 2**j then takes k pieces of
-exactly C/k. When a worker's rows end, the bins of each class that are not full are closed as sequences of a power of two of
-tokens, which need no padding either. At most C-1 pieces wait in a worker at any time.
+
+A document over C tokens gives full sequences; what is left, n tokens of class k, lacks C - k*n tokens to fill its bin. If that is at most
+`waste` of C, it goes into class k whole, as most short documents do. If not, it is cut: its first floor(C/(k+1)) tokens, the longest
+piece of class k+1 and so nearly without waste, and the rest, for which the same is asked. The rest is less than n/k, so few cuts do.
+
+When a worker's rows end, the pieces in bins that are not full, fewer than k of each class, are packed together, the longest first, each
+into the fullest sequence that has room for it. So a worker holds less than C tokens of each class, and pads one or a few sequences more.
 
 A document is its token ids and then the id `end`. Ids are those of the tokenizer file: its added tokens are cut out of the text
 first, and its ranks, kept beside it, give the ids of what lies between through the package's own encoder, which is several times faster.
@@ -19,6 +22,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,13 +37,25 @@ from .bpe_columns import _default_path, runs
 from .common import texts
 
 CAPACITY, END = 2048, 1
+#: Share of a sequence that a class may leave empty before documents are cut to fit it.
+WASTE = 1 / 32
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
-def cut(n: int, capacity: int = CAPACITY) -> list[int]:
-    """Lengths of a document's pieces: full sequences, then the powers of two in the rest."""
-    rest = n % capacity
-    return [capacity] * (n // capacity) + [1 << j for j in range(rest.bit_length() - 1, -1, -1) if rest >> j & 1]
+def class_of(n: int, capacity: int = CAPACITY) -> int:
+    """k, for a length in (capacity/(k+1), capacity/k]."""
+    return capacity // n
+
+
+def cut(n: int, capacity: int = CAPACITY, waste: float = WASTE) -> list[int]:
+    """Lengths of a document's pieces: full sequences, then what is left, whole or in parts that fit their classes."""
+    out, rest = [capacity] * (n // capacity), n % capacity
+    while rest:
+        k = class_of(rest, capacity)
+        piece = rest if capacity - k * rest <= waste * capacity else capacity // (k + 1)
+        out.append(piece)
+        rest -= piece
+    return out
 
 
 class Bins:
@@ -50,26 +66,35 @@ class Bins:
         self.open: dict[int, list[tuple]] = {}
 
     def _sequence(self, rows: list[tuple]) -> list[tuple]:
-        size = rows[0][2]
-        out = [(i, s, n, t, self.next, k * size, ids) for k, (i, s, n, t, ids) in enumerate(rows)]
+        out, at = [], 0
+        for i, s, n, t, ids in rows:
+            out.append((i, s, n, t, self.next, at, ids))
+            at += n
         self.next += 1
         return out
 
     def put(self, row: tuple) -> list[tuple]:
-        rows = self.open.setdefault(row[2], [])
+        k = class_of(row[2], self.capacity)
+        rows = self.open.setdefault(k, [])
         rows.append(row)
-        return self._sequence(self.open.pop(row[2])) if len(rows) * row[2] == self.capacity else []
+        return self._sequence(self.open.pop(k)) if len(rows) == k else []
 
     def close(self) -> list[tuple]:
-        out = []
-        for size in sorted(self.open):
-            rows = self.open[size]
-            while rows:
-                n = 1 << (len(rows).bit_length() - 1)
-                out += self._sequence(rows[:n])
-                rows = rows[n:]
+        """Best fit of what is left, longest first."""
+        left = sorted((row for rows in self.open.values() for row in rows), key=lambda row: -row[2])
         self.open = {}
-        return out
+        bins: list[list[tuple]] = []
+        room: list[tuple[int, int]] = []  # (tokens free, bin), sorted
+        for row in left:
+            at = bisect_left(room, (row[2], 0))
+            if at < len(room):
+                free, b = room.pop(at)
+            else:
+                free, b = self.capacity, len(bins)
+                bins.append([])
+            bins[b].append(row)
+            insort(room, (free - row[2], b))
+        return [row for rows in bins for row in self._sequence(rows)]
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -100,7 +125,7 @@ def encode(codec: bpe.Encoder, some: list[str], added: dict[str, int]) -> list[n
     return [np.concatenate([np.array([added[p]], "<u4") if k % 2 else next(between) for k, p in enumerate(x)]) for x in parts]
 
 
-def _pack(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end: int) -> Iterator[pa.RecordBatch]:
+def _pack(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end: int, waste: float) -> Iterator[pa.RecordBatch]:
     codec, added = bpe.encoder(path), added_tokens(path)
     context = TaskContext.get()
     bins = Bins(capacity, (context.partitionId() if context else 0) << 40)
@@ -109,7 +134,7 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end: int)
         out: list[tuple] = []
         for doc_id, tokens in zip(doc_ids.to_pylist(), encode(codec, some, added), strict=True):
             raw, n, at = tokens.tobytes() + tail, len(tokens) + 1, 0
-            for size in cut(n, capacity):
+            for size in cut(n, capacity, waste):
                 out += bins.put((doc_id, at, size, n, raw[4 * at : 4 * (at + size)]))
                 at += size
         if out:
@@ -118,12 +143,10 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end: int)
         yield _batch(out)
 
 
-def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end: int = END) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end: int = END, waste: float = WASTE) -> DataFrame:
     """A row for each piece: doc_id, start, length, doc_tokens, sequence_id, offset, ids (little-endian unsigned 32-bit)."""
-    if capacity & (capacity - 1):
-        raise ValueError("the capacity must be a power of two")
     path = path or _default_path()
-    return texts(docs).mapInArrow(lambda b: _pack(b, path, capacity, end), SCHEMA)
+    return texts(docs).mapInArrow(lambda b: _pack(b, path, capacity, end, waste), SCHEMA)
 
 
 def sequences(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:

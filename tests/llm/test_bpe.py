@@ -1,4 +1,5 @@
 import base64
+import hashlib
 import random
 
 import numpy as np
@@ -6,7 +7,7 @@ import public_tokenizers as P
 import pytest
 import tiktoken
 
-from sievetree.llm import bpe, bpe_columns, packing, token_counts
+from sievetree.llm import bpe, bpe_columns, packing, queries, token_counts
 
 from .conftest import AWKWARD
 
@@ -96,7 +97,7 @@ def test_packing(awkward, nothing, tools):
         for offset, n in sorted(rows):
             assert offset == at
             at += n
-        assert at <= 2048 and at & (at - 1) == 0  # a power of two: no padding
+        assert at <= 2048
         total += at
     assert total == sum(map(len, want))
     docs = {}
@@ -107,6 +108,18 @@ def test_packing(awkward, nothing, tools):
             ids = np.frombuffer(b"".join(bytes(p.ids) for p in parts), "<u4").tolist()
             assert ids in want and [p.start for p in parts][0] == 0
     assert packing.pack(nothing).count() == 0
-    assert packing.cut(0) == [] and packing.cut(5000) == [2048, 2048, 512, 256, 128, 8]
+    assert packing.cut(0) == [] and packing.cut(5000) == [2048, 2048, 682, 222] and packing.cut(2030) == [2030]
     joined = packing.sequences(packing.pack(awkward)).collect()
-    assert all(r.padding == 0 and len(r.ids) == 4 * r.length for r in joined)
+    power = lambda n: n & (n - 1) == 0
+    assert all(r.padding == (0 if power(r.length) else 2048 - r.length) and len(r.ids) == 4 * r.length for r in joined)
+
+
+def test_the_query_digests_what_the_library_gives(tools, spark, tmp_path):
+    rows = [*AWKWARD, (20, "<|endoftext|> it's 12 o'clock, Größe   東京\n\n"), (21, "퟿ x")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((tuple(r) for r in queries.op10_bpe(spark, str(tmp_path)).collect()), key=repr)
+    want = []
+    for i, text in rows:
+        ids = tools[1].encode_ordinary(text or "")
+        want.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()))
+    assert got == sorted(want, key=repr)
