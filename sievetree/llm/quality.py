@@ -1,11 +1,11 @@
 """Quality classifier: supervised subword embeddings.
 
-A text's features are its words and their character n-grams, hashed to buckets with a learned vector each; two equal words in a row are one more feature,
-the word 2-gram that all such pairs share. The text is the average of
-its features' vectors, and a softmax over two classes sits on top. Training is stochastic gradient descent in numpy, one text a
-step, in one task over a sample of labelled rows that is bounded by `max_train` (a documented parameter; the rows with the smallest
-hash of their id). Scoring covers every text whole: as everything behind the average is linear, a word has one number, the sum over
-its features, and words seen before come from a bounded cache.
+A text's features are its words, their character n-grams and its word 2-grams, hashed to buckets with a learned vector each. The text is
+the average of its features' vectors, and a softmax over two classes sits on top. Training is stochastic gradient descent in numpy, one
+text a step, in one task over a sample of labelled rows that is bounded by `max_train` (a documented parameter; the rows with the smallest
+hash of their id); it holds a text as its buckets, at most BUCKETS of them however long it is. Scoring covers every text whole: as
+everything behind the average is linear, a word has one number, the sum over its own features, which for words seen before comes from a
+bounded cache, and a 2-gram has its bucket's.
 
 Held-out labels are never learned from; labels, lang, source and doc_id are never inputs of a score.
 
@@ -17,7 +17,6 @@ no labelled row, or one class only, the vectors stay as they start and the score
 from __future__ import annotations
 
 from collections.abc import Iterator
-from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +27,15 @@ from .common import crc32_of_id, load, texts
 
 BUCKETS, DIMENSIONS, GRAMS, EPOCHS, RATE, SEED = 1 << 17, 12, (3, 4, 5), 6, 1.0, 7
 MAX_TRAIN, LEAST_STEPS = 4000, 20_000
-#: The bucket of a word that follows itself; no hash goes there.
-TWICE = BUCKETS
 _PRIME, _CACHE = np.uint64(0x100000001B3), 400_000
 
 
-def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(word number, bucket) of every feature: the word itself and the n-grams of <word>, all words in one array."""
+def _buckets(hashes: np.ndarray) -> np.ndarray:
+    return (hashes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - 17)).astype(np.int64) % BUCKETS
+
+
+def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word number, bucket) of every feature of a word by itself, the word and the n-grams of <word>, all words in one array; and each word's hash."""
     joined = np.frombuffer(b"<" + b"><".join(words) + b">", np.uint8).astype(np.uint64)
     lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
     begins = np.cumsum(lengths) - lengths
@@ -51,12 +52,13 @@ def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             inside = owner[: len(rolling)] == owner[n - 1 :]
             owners.append(owner[: len(rolling)][inside])
             hashes.append(rolling[inside] + np.uint64(n))
-    mixed = np.concatenate(hashes) * np.uint64(0x9E3779B97F4A7C15)
-    return np.concatenate(owners), (mixed >> np.uint64(64 - 17)).astype(np.int64) % BUCKETS
+    return np.concatenate(owners), _buckets(np.concatenate(hashes)), whole
 
 
-def _repeats(words: list[bytes]) -> int:
-    return sum(map(eq, words, words[1:]))
+def pair_buckets(hashes: np.ndarray) -> np.ndarray:
+    """The bucket of each word 2-gram, from the hashes of a row of words."""
+    mixed = hashes[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + hashes[1:]
+    return _buckets(mixed ^ mixed >> np.uint64(31))
 
 
 def _bag(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -64,21 +66,25 @@ def _bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     words = text.encode("utf-8", "surrogatepass").split()
     if not words:
         return np.empty(0, np.int64), np.empty(0, np.float32)
-    buckets = word_features(words)[1]
-    bucket, n = np.unique(np.r_[buckets, np.full(_repeats(words), TWICE)], return_counts=True)
-    return bucket, (n / n.sum()).astype(np.float32)
-
-
-def train(rows: list[tuple[str, int]], epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> tuple[np.ndarray, float]:
-    """(the margin of class 1 over class 0 that a feature adds, by bucket, and without features)."""
+    counts = np.zeros(BUCKETS, np.int64)
+    own: dict[bytes, int] = {}
+    at = np.fromiter((own.setdefault(w, len(own)) for w in words), np.int64, len(words))
+    owner, bucket, whole = word_features(list(own))
+    np.add.at(counts, bucket, np.bincount(at, minlength=len(own))[owner])
+    np.add.at(counts, pair_buckets(whole[at]), 1)
+    bucket = np.flatnonzero(counts)
+    return bucket.astype(np.int32), (counts[bucket] / counts.sum()).astype(np.float32)
+
+
+def train(bags: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> tuple[np.ndarray, float]:
+    """(the margin of class 1 over class 0 that a feature adds, by bucket, and without features). bags: a text's buckets, their shares, its label."""
     rng = np.random.default_rng(seed)
-    vectors = rng.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (BUCKETS + 1, DIMENSIONS)).astype(np.float32)
+    vectors = rng.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (BUCKETS, DIMENSIONS)).astype(np.float32)
     top = np.zeros((2, DIMENSIONS), np.float32)
-    positive = sum(y for _, y in rows)
-    share = min(max(positive / len(rows), 1e-3), 1 - 1e-3) if rows else 0.5
+    positive = sum(y for *_, y in bags)
+    share = min(max(positive / len(bags), 1e-3), 1 - 1e-3) if bags else 0.5
     bias = np.log(np.array([1 - share, share], np.float32))
-    if 0 < positive < len(rows):
-        bags = [(*_bag(t), y) for t, y in rows]
+    if 0 < positive < len(bags):
         epochs = max(epochs, -(-LEAST_STEPS // len(bags)))
         total = epochs * len(bags)
         for epoch in range(epochs):
@@ -104,7 +110,7 @@ class Scorer:
     def __init__(self, margins: np.ndarray, bias: float):
         self.margins, self.bias = margins, bias
         self.place: dict[bytes, int] = {}
-        self.sums, self.counts = np.zeros(0), np.zeros(0)
+        self.sums, self.counts, self.hashes = np.zeros(0), np.zeros(0), np.zeros(0, np.uint64)
 
     def __call__(self, some: list[str]) -> np.ndarray:
         words = [t.encode("utf-8", "surrogatepass").split() for t in some]
@@ -112,26 +118,31 @@ class Scorer:
         flat = [w for x in words for w in x]
         new = list(set(flat).difference(self.place))
         if len(self.place) + len(new) > _CACHE:
-            self.place, self.sums, self.counts = {}, np.zeros(0), np.zeros(0)
+            self.place, self.sums, self.counts, self.hashes = {}, np.zeros(0), np.zeros(0), np.zeros(0, np.uint64)
             new = list(set(flat))
         if new:
-            owner, bucket = word_features(new)
+            owner, bucket, whole = word_features(new)
             self.place.update(zip(new, range(len(self.sums), len(self.sums) + len(new)), strict=True))
             self.sums = np.r_[self.sums, np.bincount(owner, self.margins[bucket], len(new))]
             self.counts = np.r_[self.counts, np.bincount(owner, minlength=len(new))]
+            self.hashes = np.r_[self.hashes, whole]
         at = np.fromiter(map(self.place.__getitem__, flat), np.int64, len(flat))
         owner = np.repeat(np.arange(len(words)), lengths)
-        twice = np.fromiter(map(_repeats, words), np.int64, len(words))
-        total = np.bincount(owner, self.sums[at], len(words)) + twice * self.margins[TWICE]
-        n = np.bincount(owner, self.counts[at], len(words)) + twice
+        inside = owner[1:] == owner[:-1]
+        pairs = self.margins[pair_buckets(self.hashes[at])[inside]]
+        total = np.bincount(owner, self.sums[at], len(words)) + np.bincount(owner[1:][inside], pairs, len(words))
+        n = np.bincount(owner, self.counts[at], len(words)) + np.maximum(lengths - 1, 0)
         return 1 / (1 + np.exp(-(total / np.maximum(n, 1) + self.bias)))
 
 
 def _train_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = []
     for batch in batches:
-        rows += zip(batch.column("text").to_pylist(), batch.column("quality").to_pylist(), batch.column("ord").to_pylist(), strict=True)
-    margins, bias = train([(t, y) for t, y, _ in sorted(rows, key=lambda r: (r[2], r[0]))])
+        for text, y, at in zip(batch.column("text"), batch.column("quality").to_pylist(), batch.column("ord").to_pylist(), strict=True):
+            bucket, part = _bag(text.as_py())
+            rows.append((at, bucket.tobytes(), part.tobytes(), y))
+    rows.sort()
+    margins, bias = train([(np.frombuffer(b, np.int32), np.frombuffer(p, np.float32), y) for _, b, p, y in rows])
     yield pa.RecordBatch.from_arrays([pa.array([margins.astype("<f4").tobytes()], pa.binary()), pa.array([bias])], ["margins", "bias"])
 
 
@@ -146,7 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple
     sample = own.orderBy("ord", "doc_id", "quality").limit(max_train).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("ord").alias("ord"))
     rows = texts(docs).join(F.broadcast(sample), "doc_id").select("text", "quality", "ord").repartition(1)
     model = rows.mapInArrow(_train_task, "margins binary, bias double").first()
-    return (bytes(model.margins), model.bias) if model else (bytes(4 * BUCKETS + 4), 0.0)
+    return (bytes(model.margins), model.bias) if model else (bytes(4 * BUCKETS), 0.0)
 
 
 def _scorer(batches: Iterator[pa.RecordBatch], margins: bytes, bias: float):

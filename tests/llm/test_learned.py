@@ -39,7 +39,7 @@ def test_quality_on_held_out_rows(spark, awkward, nothing):
 
 
 def test_scorer_is_the_average():
-    margins = np.random.default_rng(1).normal(size=quality.BUCKETS + 1).astype(np.float32)
+    margins = np.random.default_rng(1).normal(size=quality.BUCKETS).astype(np.float32)
     scorer = quality.Scorer(margins, 0.25)
     texts = ["a a b", "", "größe größe 東京 x", "one " * 500]
     for t, s in zip(texts, scorer(texts), strict=True):
@@ -47,6 +47,21 @@ def test_scorer_is_the_average():
         assert abs(s - 1 / (1 + math.exp(-(float(margins[bucket].astype(float) @ share) + 0.25)))) < 1e-5
 
 
+def test_every_word_pair_is_a_feature():
+    """Texts that differ in the order of their words only are told apart."""
+    rng = random.Random(3)
+    rows = []
+    for _ in range(300):
+        words = [rng.choice(["red", "green", "blue"]) for _ in range(12)]
+        for y in (0, 1):
+            rows.append((" ".join(f"{w} {'of it' if y else 'it of'}" for w in words), y))
+    bags = [(*quality._bag(t), y) for t, y in rows]
+    scorer = quality.Scorer(*quality.train(bags[:400]))
+    assert np.mean((scorer([t for t, _ in rows[400:]]) >= 0.5) == [y for _, y in rows[400:]]) > 0.95
+    bucket, share = quality._bag("a b c a b")
+    assert abs(share.sum() - 1) < 1e-6 and len(quality.pair_buckets(np.arange(5, dtype=np.uint64))) == 4
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     model = gru.start(rng.integers(1, 50, 128).astype(float), np.arange(1, 4.0))
@@ -65,6 +80,37 @@ def test_gradients():
     assert gru.log_likelihood(model, [words] * 4, 128).sum() > before
 
 
+def slow_score(model, tokens, words):
+    """The recurrence and both softmaxes of one text, a token and a number at a time, in double precision."""
+    size = gru.HIDDEN
+    m = {p: model[p].astype(float) for p in gru.PARTS}
+    h, last, total = [0.0] * size, -1, 0.0
+    for t in tokens:
+        x = m["x"][last]
+        g = [sum(h[i] * m["u"][i, j] for i in range(size)) for j in range(3 * size)]
+        z = [1 / (1 + math.exp(-(x[j] + g[j]))) for j in range(size)]
+        r = [1 / (1 + math.exp(-(x[size + j] + g[size + j]))) for j in range(size)]
+        n = [math.tanh(x[2 * size + j] + r[j] * g[2 * size + j]) for j in range(size)]
+        h = [(1 - z[j]) * n[j] + z[j] * h[j] for j in range(size)]
+        own = t // gru.CLASS if t < words else words // gru.CLASS + t - words
+        logits = [m["bc"][c] + sum(h[i] * m["uc"][i, c] for i in range(size)) for c in range(len(m["bc"]))]
+        total += logits[own] - math.log(sum(map(math.exp, logits)))
+        if t < words:
+            logits = [m["bw"][own, k] + sum(h[i] * m["uw"][own, i, k] for i in range(size)) for k in range(gru.CLASS)]
+            total += logits[t % gru.CLASS] - math.log(sum(map(math.exp, logits)))
+        last = t
+    return total
+
+
+def test_scores_are_the_recurrence():
+    rng = np.random.default_rng(12)
+    model = gru.start(rng.integers(1, 50, 128).astype(float), np.arange(1, 4.0))
+    texts = [rng.integers(0, 131, k).astype(np.int32) for k in (1, 2, 17, 40, 130)]
+    gru.train(model, texts * 20, 128)
+    got = gru.log_likelihood(model, texts, 128, width=3, window=16)
+    assert np.allclose(got, [slow_score(model, t.tolist(), 128) for t in texts], rtol=1e-4)
+
+
 def test_segments_hold_every_token():
     whole = [np.arange(10, dtype=np.int32), np.arange(3, dtype=np.int32), np.arange(4, dtype=np.int32)]
     pieces, before = gru.segments(whole, 4)
