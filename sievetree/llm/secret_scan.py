@@ -8,18 +8,20 @@ Spans are code points, end exclusive, leftmost and without overlap in a rule. A
 dropped; it still uses up its text, as the search goes on behind it.
 
 Defined results: null text is the empty text, with no spans, zero counts and the hash of the empty string. Every row has its own
-result, also rows that repeat an id (postings of a repeated id are merged, which only widens the candidates) and rows without id.
+result, also rows that repeat an id (postings of a repeated id are merged, which only widens the candidates) and rows without id (all
+rules verify them). A text may have any number of spans: their places and the redaction take n log n work.
 Equal starts are ordered by rule. An empty table gives an empty result. Other columns are never read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts, written
+from .common import temporary, texts, written
 from .trigrams import ALL, query_of, trigrams_of
 
 
@@ -79,42 +81,61 @@ def candidates(postings: DataFrame, rules: tuple[Rule, ...], trigrams: list[str]
     return found.select("doc_id", cand.alias("cand")).where(F.size("cand") > 0)
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """Running sums (or what else `join` does) of an array of numbers from 0 up, in doubling steps: n log n work, however long it is."""
+    steps = F.transform(F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)))).cast("int")), lambda d: F.pow(F.lit(2.0), d).cast("int"))
+    return F.aggregate(steps, values, lambda acc, step: F.transform(acc, lambda x, i: join(x, F.coalesce(F.get(acc, i - step), F.lit(0)))))
+
+
 def _spans(text: Column, rule: Rule, order: int) -> Column:
-    """array<struct<start,rule,end>> of a text that the rule's expression matches: what lies between the matches gives their places."""
+    """array<struct<start,rule,end,at,to>> of a text that the rule's expression matches, in code points and (at, to) in bytes: what lies between the matches gives their places."""
     hits = F.regexp_extract_all(text, F.lit(rule.java), F.lit(0))
     measured = F.regexp_extract_all(text, F.lit(rule.java), F.lit(rule.group)) if rule.least and rule.group else hits
-    gaps = F.transform(F.split(text, rule.java, -1), F.length)
-    rows = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(hits)).alias("gap"), F.transform(hits, F.length).alias("n"), F.transform(measured, F.length).alias("m"))
-    empty = F.array().cast("array<struct<start:int,rule:int,end:int,m:int>>")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
 
-    def step(acc: Column, row: Column) -> Column:
-        begin = acc["at"] + row["gap"]
-        end = begin + row["n"]
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), F.lit(order).alias("rule"), end.alias("end"), row["m"].alias("m")))).alias("out"))
+    def ends(m: Column, measure: Callable[[Column], Column]) -> Column:
+        return _running(F.transform(m["hits"], lambda x, i: measure(x) + measure(F.get(m["gaps"], i))), lambda a, b: a + b)
+
+    def spans(m: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            end, to = F.get(m["ends"], i), F.get(m["tos"], i)
+            return F.struct((end - F.length(x)).alias("start"), F.lit(order).alias("rule"), end.alias("end"), (to - F.octet_length(x)).alias("at"), to.alias("to"))
+
+        every = F.transform(m["hits"], one)
+        return F.filter(every, lambda x, i: F.length(F.get(m["measured"], i)) >= rule.least) if rule.least else every
 
-    kept = F.filter(F.aggregate(rows, start, step)["out"], lambda x: x["m"] >= rule.least)
-    return F.transform(kept, lambda x: F.struct(x["start"].alias("start"), x["rule"].alias("rule"), x["end"].alias("end")))
+    found = F.struct(hits.alias("hits"), measured.alias("measured"), F.split(text, rule.java, -1).alias("gaps"))
+    placed = lambda m: F.struct(m["hits"].alias("hits"), m["measured"].alias("measured"), ends(m, F.length).alias("ends"), ends(m, F.octet_length).alias("tos"))
+    return _bound(found, lambda m: _bound(placed(m), spans))
 
 
 def _marked(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """docs with the spans of its text in __found: array<struct<start,rule,end>> in order of start, then rule."""
+    """(row, text, found): docs' columns as a struct, so that no name of theirs meets one of this module's; the text; its spans in order of start, then rule. Rows without an id are verified by all rules."""
     queries = [query_of(r.pattern) for r in rules]
     trigrams = sorted(set().union(*map(trigrams_of, queries)))
-    cand = candidates(index(docs, trigrams), rules, trigrams).select(F.col("doc_id").alias("__id"), F.col("cand").alias("__cand"))
-    rows = docs.join(cand, docs["doc_id"].cast("long").eqNullSafe(F.col("__id")), "left")
-    text, none = F.coalesce(docs["text"].cast("string"), F.lit("")), F.array().cast("array<struct<start:int,rule:int,end:int>>")
+    with temporary(docs.sparkSession):
+        cand = candidates(index(docs, trigrams), rules, trigrams).select(F.col("doc_id").alias("cand_id"), "cand")
+        cand = written(cand.where("cand_id is not null"), "secret-candidates", kept=True)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    every = F.lit([i for i, q in enumerate(queries) if q != ALL]).cast("array<int>")
+    with_id = rows.where("id is not null").join(cand, F.col("id") == F.col("cand_id"), "left").select("row", "text", "cand")
+    rows = with_id.unionByName(rows.where("id is null").select("row", "text", every.alias("cand")))
+    text, none = F.col("text"), F.array().cast("array<struct<start:int,rule:int,end:int,at:int,to:int>>")
     parts = []
     for i, (r, q) in enumerate(zip(rules, queries, strict=True)):
         asked = text.rlike(r.java)
-        asked = asked if q == ALL else F.coalesce(F.array_contains("__cand", i), F.lit(False)) & asked
+        asked = asked if q == ALL else F.coalesce(F.array_contains("cand", i), F.lit(False)) & asked
         parts.append(F.when(asked, _spans(text, r, i)).otherwise(none))
-    return rows.select(*[docs[c] for c in docs.columns], F.array_sort(F.concat(*parts)).alias("__found"))
+    return rows.select("row", "text", F.array_sort(F.concat(*parts)).alias("found"))
 
 
 def find(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Every row of docs as (doc_id, text, found)."""
-    return _marked(texts(docs), rules).withColumnRenamed("__found", "found")
+    """Every row of docs as (doc_id, text, found); found: its spans, array<struct<start,rule,end,at,to>>."""
+    return _marked(texts(docs), rules).select("row.doc_id", "text", "found")
 
 
 def shown(found: Column, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -134,15 +155,18 @@ def digests(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def redacted(text: Column, found: Column, mark: str = "[SECRET]") -> Column:
-    """The text with each span, or run of spans that overlap, replaced by the mark."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """The text with each span, or run of spans that overlap, replaced by the mark. Pieces are taken by their bytes, so a text is read once however many spans it has."""
 
-    def step(acc: Column, s: Column) -> Column:
-        piece = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], piece).otherwise(acc["out"]).alias("out"))
+    def done(m: Column) -> Column:
+        heads = F.transform(m["found"], lambda s, i: F.struct(s["at"].alias("at"), F.coalesce(F.get(m["reached"], i - 1), F.lit(0)).alias("before")))
+        heads = F.filter(heads, lambda h: h["at"] >= h["before"])
+        pieces = F.transform(heads, lambda h: F.concat(F.substring(m["bytes"], h["before"] + 1, h["at"] - h["before"]).cast("string"), F.lit(mark)))
+        rest = F.substring(m["bytes"], F.element_at(m["reached"], -1) + 1, F.length(m["bytes"])).cast("string")
+        return F.concat(F.array_join(pieces, ""), rest)
 
-    done = F.aggregate(found, start, step)
-    return F.when(F.size(found) == 0, text).otherwise(F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
+    reached = _running(F.transform(found, lambda s: s["to"]), F.greatest)
+    every = F.struct(text.cast("binary").alias("bytes"), found.alias("found"), reached.alias("reached"))
+    return F.when(F.size(found) == 0, text).otherwise(_bound(every, done))
 
 
 #: A private key's BEGIN line, and what follows it: all up to the END line, or the base64 lines where a text ends before one.
@@ -158,9 +182,10 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRE
     """docs, all columns and rows, with every span in the text replaced, a private key to its end; n_chars, if there, follows. Texts without spans, also null ones, stay as they are."""
     if any(r.kind == "private_key" for r in rules):
         docs = docs.withColumn("text", without_key_bodies(F.col("text")))
-    rows = _marked(docs, rules)
-    changed = F.size("__found") > 0
-    rows = rows.withColumn("text", F.when(changed, redacted(F.col("text"), F.col("__found"), mark)).otherwise(F.col("text")))
+    changed = F.size("found") > 0
+    text = F.when(changed, redacted(F.col("text"), F.col("found"), mark)).otherwise(F.col("row.text"))
+    rows = _marked(docs, rules).select("row", changed.alias("changed"), text.alias("text"))
+    own = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return rows.drop("__found")
+        own["n_chars"] = F.when(F.col("changed"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return rows.select(*[own.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

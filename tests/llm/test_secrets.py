@@ -57,3 +57,43 @@ def test_queries():
                 return q == ALL or (q[0] == "tri" and q[1] in low) or (q[0] in ("and", "or") and (all if q[0] == "and" else any)(map(holds, q[1])))
 
             assert m is None or holds(query_of(rule.pattern))
+
+
+def test_a_text_of_very_many_secrets(spark):
+    text = " ".join(f"Größe token={i:06d}x AKIA{'A' * 16}" for i in range(20_000))
+    docs = spark.createDataFrame([(1, text, len(text))], "doc_id long, text string, n_chars long")
+    got = secret_scan.digests(docs).first()
+    assert (got.n_assign, got.n_access, got.base_sha256, got.spans) == (20_000, 20_000, *brute(text)[3:])
+    clean = secret_scan.redact(docs).first()
+    assert clean.text == " ".join(["Größe [SECRET] [SECRET]"] * 20_000) and clean.n_chars == len(clean.text)
+
+
+def test_spans_that_overlap_or_touch_are_redacted_as_one_by_one(spark):
+    rules = (secret_scan.Rule("a", "é[0-9]+"), secret_scan.Rule("b", "[0-9]+東"), secret_scan.Rule("c", "東x"))
+    docs = spark.createDataFrame([(1, "_é12東x é3 45東東x")], "doc_id long, text string")
+    assert secret_scan.redact(docs, rules, "#").first().text == "_# # ##"
+
+
+def test_columns_of_any_name(spark):
+    names = ("__cand", "__id", "__found", "cand", "cand_id", "found", "row", "id", "rule")
+    docs = spark.createDataFrame([(1, TEXTS[5]), (None, TEXTS[1])], "doc_id long, text string").selectExpr("*", *[f"7 as `{n}`" for n in names], "3 as `a.b`")
+    got = secret_scan.redact(docs)
+    assert got.columns == docs.columns and {tuple(r)[2:] for r in got.collect()} == {(7,) * len(names) + (3,)}
+    assert all("[SECRET]" in r.text for r in got.collect())
+
+
+def test_the_oracle_sql(spark, tmp_path):
+    """The SQL of the registered query, on the same rows."""
+    import duckdb
+
+    from sievetree.llm import queries
+
+    spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    for name in queries.ORACLE_SQL:
+        got = queries.QUERIES[name](spark, str(tmp_path))
+        want = con.execute(queries.ORACLE_SQL[name])
+        columns = [d[0] for d in want.description]
+        assert sorted(got.columns) == sorted(columns)
+        assert sorted((tuple(r) for r in got.select(*columns).collect()), key=repr) == sorted(want.fetchall(), key=repr)
