@@ -259,10 +259,12 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, text in enumerate(batch.column("text")):
             data = payload(text.as_py())
             media = encode(data)
-            frames = list(decode(media))
-            back = b"".join(f.samples for f in frames)
-            grey = sum((histogram(f, 16, 1) for f in frames), np.zeros(16, np.int64))
-            delays = [10 * f.delay for f in frames]
+            samples, delays, grey = [], [], np.zeros(16, np.int64)
+            for f in decode(media):  # one canvas at a time
+                samples.append(f.samples)
+                delays.append(10 * f.delay)
+                grey += histogram(f, 16, 1)
+            back = b"".join(samples)
             rows.append((len(text.as_py().encode("utf-8", "surrogatepass")), media, back, delays, grey.tolist()))
             size += len(media) + len(back)
             if size > 16_000_000 or i == len(batch) - 1:

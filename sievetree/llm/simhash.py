@@ -4,10 +4,11 @@ Fingerprints: words `[^\\x20\\x09-\\x0D]+` of the text with A-Z lower-cased, shi
 seed 42 of each; a bit is 1 if set in over half of the hashes. A text of fewer words has one shingle, of no words the fingerprint 0.
 
 Search: a fingerprint is embedded as the bit counts of its 32 two-bit segments. The Manhattan distance of two embeddings never
-exceeds the Hamming distance of the fingerprints, so links at `radius` 3 are among the embeddings within 3. The 32 axes are dealt
-into five groups; of five groups with total distance 3 at most three differ, so any linked pair agrees on all axes of two groups:
-the grid has a layer for each of the ten pairs of groups, its cells are the exact coordinates there, and the range join joins
-within cells. In a cell, pairs beyond Manhattan distance 3 are dropped, the rest verified by Hamming distance, and only a spanning
+exceeds the Hamming distance of the fingerprints, so links at `radius` 3 are among the embeddings within 3. A grid of cell width 4 over
+all 32 axes would need 3**32 neighbour cells, so the range join goes by groups of axes: the 32 axes are dealt into seven groups; with
+total distance 3 at most three groups differ, so any linked pair agrees on all axes of four groups: the grid has a layer for each of the
+35 sets of four groups, its cells are the exact coordinates there (18 axes or more, so that cells stay small when the corpus grows), and
+the range join joins within cells. In a cell, pairs beyond Manhattan distance 3 are dropped, the rest verified by Hamming distance, and only a spanning
 forest of the verified links leaves the task: connectivity is kept, pairs are never all emitted. Cells of over `block` distinct
 fingerprints are cut into blocks; every pair of blocks is a task of its own, so no cell is gathered whole and none is capped.
 
@@ -28,12 +29,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remove, scratch, texts, written
+from .common import remove, scratch, temporary, texts, without, written
 
 WIDTH, RADIUS, BLOCK = 3, 3, 8192
 _EVEN = 0x5555555555555555
-#: Bits of the five groups of segments: 7, 7, 6, 6 and 6 segments of two bits.
-_GROUP_BITS = (14, 14, 12, 12, 12)
+#: Bits of the seven groups of segments: 5, 5, 5, 5, 4, 4 and 4 segments of two bits.
+_GROUP_BITS = (10, 10, 10, 10, 8, 8, 8)
 _SMALL_RUN = 24
 
 
@@ -138,12 +139,12 @@ def _cell_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _layers() -> list[tuple[int, int]]:
-    """Masks of the grid's layers: two of the five groups each."""
+    """Masks of the grid's layers: all groups but RADIUS each."""
     masks, at = [], 0
     for bits in _GROUP_BITS:
         masks.append(((1 << bits) - 1) << at)
         at += bits
-    return list(enumerate(x | y for x, y in combinations(masks, 2)))
+    return [(k, sum(some)) for k, some in enumerate(combinations(masks, len(masks) - RADIUS))]
 
 
 def _signed(x: int) -> int:
@@ -165,13 +166,13 @@ def links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
     return found.where("a <> b").distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node with an edge; root is the smallest node reachable. Large and small stars alternate until nothing changes, in a number of rounds about logarithmic in the nodes. Stars are found by aggregation; each round is written and the one before removed."""
     spark = edges.sparkSession
     path = scratch(spark, "stars")
     now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), "stars", path)
     state = None
-    for _ in range(max_rounds):
+    while True:
         both = now.union(now.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
@@ -185,23 +186,21 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if tuple(new_state) == state:
             break
         state = tuple(new_state)
-    else:
-        raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id."""
     prints = written(fingerprints(docs, width), "fingerprints")
-    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
-    roots = components(links(distinct.select("fp"), block))
-    member = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lowest = member.groupBy("root").agg(F.min("low").alias("component_id"))
-    classes = written(member.join(lowest, "root").select("fp", "component_id"), "classes")
+    with temporary(docs.sparkSession):
+        distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
+        roots = components(links(distinct.select("fp"), block))
+        member = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+        lowest = member.groupBy("root").agg(F.min("low").alias("component_id"))
+        classes = written(member.join(lowest, "root").select("fp", "component_id"), "classes", kept=True)
     return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def dedup(docs: DataFrame, width: int = WIDTH, block: int = BLOCK) -> DataFrame:
     """The rows of docs that stay: of each component, the document with the smallest id; rows without an id stay."""
-    drop = near_duplicates(docs, width, block).where("doc_id <> component_id").select(F.col("doc_id").alias("__drop")).distinct()
-    return docs.join(drop, docs["doc_id"].cast("long") == F.col("__drop"), "left_anti")
+    return without(docs, near_duplicates(docs, width, block).where("doc_id <> component_id").select("doc_id"))

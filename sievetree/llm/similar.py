@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts, written
+from .common import temporary, texts, without, written
 from .simhash import components
 
 WIDTH = 5
@@ -191,5 +191,6 @@ def copies(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 def dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """The rows of docs that stay: of each component, the document with the smallest id; rows without an id stay."""
-    drop = copies(docs, width).where("doc_id <> component_id").select(F.col("doc_id").alias("__drop")).distinct()
-    return docs.join(drop, docs["doc_id"].cast("long") == F.col("__drop"), "left_anti")
+    with temporary(docs.sparkSession):
+        drop = written(copies(docs, width).where("doc_id <> component_id").select("doc_id"), "similar-dropped", kept=True)
+    return without(docs, drop)

@@ -1,5 +1,7 @@
+import hashlib
 import random
 import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -93,3 +95,20 @@ def test_round_trip(awkward, nothing):
     assert {r.frame for r in frames if r.doc_id == 9} == {0, 1, 2}
     assert all(r.delay_ms == 100 and r.at_ms == 100 * r.frame and r.red == r.blue for r in frames)
     assert gif.digests(awkward).count() == len(AWKWARD)
+
+
+def test_digests_are_of_the_payload_read_back_and_the_stored_file(spark):
+    rows = [(1, "text of a file"), (2, None), (3, ""), (4, "x" * 64), (5, "Größe 東京 " * 3000), (6, "text of a file")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    media = {r.doc_id: bytes(r.media) for r in gif.store(docs).collect()}
+    got = {r.doc_id: r for r in gif.digests(docs).collect()}
+    for i, text in rows:
+        raw = (text or "").encode()
+        padded = raw + b"\0" * (-len(raw) % 64 if raw else 64)
+        assert b"".join(f.samples for f in gif.decode(media[i])) == padded
+        r = got[i]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+        assert (r.media_bytes, r.media_sha256) == (len(media[i]), hashlib.sha256(media[i]).hexdigest())
+        pixels = [int(x) for x in r.feature.split(";")[1].split(",")]
+        assert pixels == [sum(b >> 4 == k for b in padded) for k in range(16)]
+    assert got[1][1:] == got[6][1:]
