@@ -2,7 +2,9 @@
 
 Structure search (which columns are independent, which queries differ, which rows cluster) sees at most `sample` rows, so it takes
 the same time whatever the table. Everything the answers are made of is then counted in one distributed pass over every row: each
-batch is routed down the tree, values are counted in the task, and one exchange adds the counts up. A model is a few Parquet tables.
+batch is routed down the tree, values are counted in the task, and one exchange adds the counts up. A column of at most `max_bins`
+distinct values has a bin for each value; of one with more, values are counted by about `max_bins` intervals of equal mass, values that
+fill an interval of their own apart, so a leaf is bounded whatever its column. A model is a few Parquet tables.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from ..operators.workload_stats import split_queries
 
 @dataclass
 class Params:
-    """least_rows: share of the rows below which no more rows are split. steep, lower, upper: the adaptive threshold. coaccess: weight from which columns count as queried together. by_rows: a name of splits.ROWS; by_columns: rdc or poisson; by_queries: maxcut or kmeans."""
+    """least_rows: share of the rows below which no more rows are split. steep, lower, upper: the adaptive threshold. coaccess: weight from which columns count as queried together. by_rows: a name of splits.ROWS; by_columns: rdc or poisson; by_queries: maxcut or kmeans. max_bins: distinct values from which a column is counted by intervals."""
 
     sample: int = 50_000
     least_rows: float = 0.01
@@ -36,6 +38,7 @@ class Params:
     by_rows: str = "kmeans"
     by_columns: str = "rdc"
     by_queries: str = "maxcut"
+    max_bins: int = 2000
 
 
 @dataclass
@@ -149,30 +152,82 @@ def _route(node: Node, rows: np.ndarray, at: np.ndarray) -> Iterator[tuple[int,
         yield from _route(child, rows, own)
 
 
-def count(df: DataFrame, columns: Sequence[str], root: Node) -> DataFrame:
+@dataclass
+class Grid:
+    """Intervals of a column with many values: bin i is [edges[i], edges[i+1]], or edges[i] alone where `alone`. grain: distinct values to an interval, about."""
+
+    edges: list[float]
+    alone: list[bool]
+    grain: float
+
+    def place(self, v: np.ndarray) -> np.ndarray:
+        """The bin of each value. Even numbers are intervals, odd ones the value at their lower edge alone."""
+        edges = np.array(self.edges)
+        i = np.clip(np.searchsorted(edges, v, "right") - 1, 0, max(len(edges) - 2, 0))
+        return 2 * i + (np.array(self.alone)[i] & (v == edges[i]))
+
+    def bin(self, place: int) -> tuple[float, float]:
+        i = place // 2
+        return (self.edges[i], self.edges[i]) if place % 2 else (self.edges[i], self.edges[min(i + 1, len(self.edges) - 1)])
+
+
+def grids(df: DataFrame, columns: Sequence[str], max_bins: int) -> tuple[int, dict[str, Grid]]:
+    """The rows of a table, and the grids of its columns of more than max_bins distinct values: one pass for the counts, one for the quantiles if any."""
+    first = df.agg(F.count("*").alias("n"), *[F.approx_count_distinct(F.col(c).cast("double"), 0.02).alias(f"d{i}") for i, c in enumerate(columns)]).first()
+    many = [c for i, c in enumerate(columns) if first[f"d{i}"] > max_bins]
+    out = {}
+    if many:
+        shares = [i / max_bins for i in range(max_bins + 1)]
+        cuts = df.select(*[F.col(c).cast("double").alias(c) for c in many]).approxQuantile(many, shares, 0.25 / max_bins)
+        for c, found in zip(many, cuts, strict=True):
+            edges, times = np.unique(found, return_counts=True)
+            out[c] = Grid(edges.tolist(), (times > 1).tolist(), max(1.0, first[f"d{columns.index(c)}"] / max(len(edges) - 1, 1)))
+    return first.n, out
+
+
+def tallies(root: Node, rows: np.ndarray, columns: Sequence[str], grid: dict[str, Grid], base: int = 0) -> list[tuple]:
+    """(node, col, v, n) of some rows, as `count` has them; node numbers from base on. v is the bin's number where the column has a grid."""
+    out: list[tuple] = []
+    for number, column, at in _route(root, rows, np.arange(len(rows))):
+        number += base
+        if column >= 0:
+            v, name = rows[at, column], columns[column]
+            known = v[np.isfinite(v)]
+            known, n = np.unique(grid[name].place(known) if name in grid else known, return_counts=True)
+            out += [(number, name, float(x), k) for x, k in zip(known.tolist(), n.tolist(), strict=True)]
+            if missing := int((~np.isfinite(v)).sum()):
+                out.append((number, name, None, missing))
+        elif len(at):
+            out.append((number, "", None, len(at)))
+            for c, name in enumerate(columns):
+                v = rows[at, c]
+                if np.isfinite(v).any():
+                    out += [(number, f"<{name}", float(np.nanmin(v)), 0), (number, f">{name}", float(np.nanmax(v)), 0)]
+    return out
+
+
+TALLIES = "node int, col string, v double, n long"
+
+
+def tally_batch(out: list[tuple]) -> pa.RecordBatch:
+    a, b, c, d = zip(*out, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b), pa.array(c, pa.float64()), pa.array(d, pa.int64())], ["node", "col", "v", "n"])
+
+
+def count(df: DataFrame, columns: Sequence[str], root: Node, grid: dict[str, Grid] | None = None) -> DataFrame:
     """(node, col, v, n) over all rows: value counts of leaves; for children of sums, rows as col '' and the box as '<c' and '>c' with the bound in v."""
+    grid = grid or {}
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in dep.batches_to_rows(batches, columns):
-            out: list[tuple] = []
-            for number, column, at in _route(root, rows, np.arange(len(rows))):
-                if column >= 0:
-                    v = rows[at, column]
-                    known, n = np.unique(v[np.isfinite(v)], return_counts=True)
-                    out += [(number, columns[column], x, k) for x, k in zip(known.tolist(), n.tolist(), strict=True)]
-                    if missing := int((~np.isfinite(v)).sum()):
-                        out.append((number, columns[column], None, missing))
-                elif len(at):
-                    out.append((number, "", None, len(at)))
-                    for c, name in enumerate(columns):
-                        v = rows[at, c]
-                        if np.isfinite(v).any():
-                            out += [(number, f"<{name}", float(np.nanmin(v)), 0), (number, f">{name}", float(np.nanmax(v)), 0)]
-            if out:
-                a, b, c, d = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b), pa.array(c, pa.float64()), pa.array(d, pa.int64())], ["node", "col", "v", "n"])
-
-    rows = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).mapInArrow(task, "node int, col string, v double, n long")
+            if out := tallies(root, rows, columns, grid):
+                yield tally_batch(out)
+
+    return added_up(df.select(*[F.col(c).cast("double").alias(c) for c in columns]).mapInArrow(task, TALLIES))
+
+
+def added_up(rows: DataFrame) -> DataFrame:
+    """Tallies of all tasks, or of old and new rows, as one."""
     box = F.substring("col", 1, 1).isin("<", ">")
     key = F.when(~box, F.col("v"))
     out = rows.groupBy("node", "col", key.alias("k")).agg(F.sum("n").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
@@ -182,13 +237,13 @@ def count(df: DataFrame, columns: Sequence[str], root: Node) -> DataFrame:
 class Model:
     """A fitted tree: the structure, each leaf's bins, each sum child's weight and box. Its size follows the tree and the distinct values, not the rows."""
 
-    def __init__(self, columns: Sequence[str], root: Node, rows: int, bins: dict, weights: dict, bounds: dict):
-        self.columns, self.root, self.rows, self.bins, self.weights, self.bounds = list(columns), root, rows, bins, weights, bounds
+    def __init__(self, columns: Sequence[str], root: Node, rows: int, bins: dict, weights: dict, bounds: dict, grid: dict[str, Grid] | None = None):
+        self.columns, self.root, self.rows, self.bins, self.weights, self.bounds, self.grid = list(columns), root, rows, bins, weights, bounds, grid or {}
 
     @classmethod
     def fit(cls, df: DataFrame, columns: Sequence[str], boxes: np.ndarray, params: Params | None = None, root: Node | None = None) -> Model:
         params = params or Params()
-        total = df.count()
+        total, grid = grids(df, columns, params.max_bins)
         if root is None:
             numbers = [F.col(c).cast("double").alias(c) for c in columns]
             share = min(1.0, 2.0 * params.sample / max(total, 1))
@@ -200,25 +255,48 @@ class Model:
             for i, node in enumerate(root.walk()):
                 node.number = i
         check(root)
-        return cls.from_counts(columns, root, total, count(df, columns, root))
+        return cls.from_counts(columns, root, total, count(df, columns, root, grid), grid)
 
     @classmethod
-    def from_counts(cls, columns: Sequence[str], root: Node, total: int, counts: DataFrame) -> Model:
+    def from_counts(cls, columns: Sequence[str], root: Node, total: int, counts: DataFrame, grid: dict[str, Grid] | None = None) -> Model:
+        """What comes to the driver is bounded by the tree's leaves times their bins: a column has a grid, or at most about max_bins values."""
+        grid = grid or {}
         own = counts.where("col <> '' and substring(col, 1, 1) not in ('<', '>')")
-        domain = own.where("v is not null").select("col", "v").distinct()
+        points = own.where(~F.col("col").isin(list(grid))) if grid else own
+        domain = points.where("v is not null").select("col", "v").distinct()
         bins: dict[int, dict] = {}
-        for r in leaves.histogram(own, domain, ["node"]).orderBy("node", "lo").collect():
+        for r in leaves.histogram(points, domain, ["node"]).orderBy("node", "lo").collect():
             b = bins.setdefault(r.node, {"lo": [], "hi": [], "pdf": [], "non_null": r.non_null})
             b["lo"].append(r.lo)
             b["hi"].append(r.hi)
             b["pdf"].append(r.pdf)
+        if grid:
+            leaf: dict[tuple, list] = {}
+            for r in own.where(F.col("col").isin(list(grid))).collect():
+                leaf.setdefault((r.node, r.col), []).append((r.v, r.n))
+            for (node, col), some in leaf.items():
+                known = sorted((*grid[col].bin(int(v)), n) for v, n in some if v is not None)
+                whole = sum(n for *_, n in known)
+                if known:
+                    bins[node] = {"lo": [a for a, *_ in known], "hi": [z for _, z, _ in known], "pdf": [n / whole for *_, n in known], "non_null": whole / sum(n for _, n in some), "grain": grid[col].grain}
         weights, bounds = {}, {}
         for r in counts.where("col = '' or substring(col, 1, 1) in ('<', '>')").collect():
             if r.col == "":
                 weights[r.node] = r.n
             else:
                 bounds.setdefault(r.node, {}).setdefault(r.col[1:], [0.0, 0.0])[r.col[0] == ">"] = r.v
-        return cls(columns, root, total, bins, weights, bounds)
+        return cls(columns, root, total, bins, weights, bounds, grid)
+
+    @staticmethod
+    def leaf_probability(b: dict, lo: float, hi: float) -> float:
+        """Of the bins that the closed range touches, whole; of intervals the share that it covers, of one value the share of an even value."""
+        a, z, pdf = np.asarray(b["lo"]), np.asarray(b["hi"]), np.asarray(b["pdf"])
+        touched = (a <= hi) & (z >= lo)
+        if "grain" in b:
+            wide = z > a
+            cover = np.clip((np.minimum(hi, z) - np.maximum(lo, a)) / np.where(wide, z - a, 1.0), 0.0, 1.0) if hi > lo else np.full(len(a), 1.0 / b["grain"])
+            pdf = pdf * np.where(wide, cover, 1.0)
+        return float(pdf[touched].sum()) * b["non_null"]
 
     def probability(self, lo: np.ndarray, hi: np.ndarray) -> float:
         """Of one box. Products skip parts that the query leaves free; sums take 0 for a box that is missed and 1 for one that is covered; splits ask one child."""
@@ -231,8 +309,7 @@ class Model:
                 b = self.bins.get(node.number)
                 if b is None:
                     return 0.0
-                touched = (np.asarray(b["lo"]) <= hi[node.columns[0]]) & (np.asarray(b["hi"]) >= lo[node.columns[0]])
-                return float(np.asarray(b["pdf"])[touched].sum()) * b["non_null"]
+                return self.leaf_probability(b, lo[node.columns[0]], hi[node.columns[0]])
             if node.kind == "product":
                 out = 1.0
                 for child in node.children:
@@ -259,10 +336,14 @@ class Model:
     def expectation(self, column: str, lo: np.ndarray, hi: np.ndarray) -> float:
         """E[1{box} * x] of a column, by its value's share of each bin: the box narrowed to the bin, times the bin's middle."""
         c = self.columns.index(column)
-        values = sorted({(a, b) for n in self.root.walk() if n.kind == "leaf" and n.columns == [c] and n.number in self.bins for a, b in zip(self.bins[n.number]["lo"], self.bins[n.number]["hi"], strict=True) if a == b})
+        of_leaf = lambda n: zip(self.bins[n.number]["lo"], self.bins[n.number]["hi"], self.bins[n.number]["pdf"], strict=True)
+        cut = column in self.grid
+        values = sorted({(a, b) for n in self.root.walk() if n.kind == "leaf" and n.columns == [c] and n.number in self.bins for a, b, p in of_leaf(n) if a == b or (cut and p)})
         out = 0.0
         for a, b in values:
-            if lo[c] <= a and b <= hi[c]:
+            if cut and a < b:  # without its edges, which may be values alone
+                a, b = max(np.nextafter(a, np.inf), lo[c]), min(np.nextafter(b, -np.inf), hi[c])
+            if lo[c] <= a and b <= hi[c] and a <= b:
                 low, high = lo.copy(), hi.copy()
                 low[c], high[c] = a, b
                 out += (a + b) / 2 * self.probability(low, high)
@@ -279,7 +360,7 @@ class Model:
                 return None
             return Node(node.kind, own if node.kind in ("leaf", "product") else node.columns, kids, node.by, node.centres, node.fill, node.masks, node.number)
 
-        return Model(self.columns, cut(self.root), self.rows, self.bins, self.weights, self.bounds)
+        return Model(self.columns, cut(self.root), self.rows, self.bins, self.weights, self.bounds, self.grid)
 
     def most_probable(self, evidence: dict[str, float]) -> dict[str, float]:
         """Best values of the free columns along the best path, evidence kept."""
@@ -312,7 +393,8 @@ class Model:
                 if b := self.bins.get(node.number):
                     p = np.array(b["pdf"])
                     k = rng.choice(len(p), len(at), p=p / p.sum())
-                    v = (np.array(b["lo"])[k] + np.array(b["hi"])[k]) / 2
+                    a, z = np.array(b["lo"])[k], np.array(b["hi"])[k]
+                    v = a + (z - a) * (rng.random(len(k)) if "grain" in b else 0.5)
                     out[at, node.columns[0]] = np.where(rng.random(len(at)) < b["non_null"], v, np.nan)
             elif node.kind == "product":
                 for c in node.children:
@@ -353,9 +435,9 @@ class Model:
     def save(self, spark: SparkSession, path: str) -> None:
         nodes = [(n.number, n.kind, n.by, n.columns, [c.number for c in n.children], json.dumps([n.centres, n.fill, n.masks]), self.weights.get(n.number), json.dumps(self.bounds.get(n.number))) for n in self.root.walk()]
         spark.createDataFrame(nodes, "node int, kind string, by string, columns array<int>, children array<int>, routing string, weight long, box string").coalesce(1).write.mode("overwrite").parquet(f"{path}/nodes")
-        rows = [(k, i, float(a), float(z), float(p), b["non_null"]) for k, b in self.bins.items() for i, (a, z, p) in enumerate(zip(b["lo"], b["hi"], b["pdf"], strict=True))]
-        spark.createDataFrame(rows, "node int, bin int, lo double, hi double, pdf double, non_null double").coalesce(1).write.mode("overwrite").parquet(f"{path}/leaf_bins")
-        spark.createDataFrame([(self.columns, self.rows)], "columns array<string>, rows long").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
+        rows = [(k, i, float(a), float(z), float(p), b["non_null"], b.get("grain")) for k, b in self.bins.items() for i, (a, z, p) in enumerate(zip(b["lo"], b["hi"], b["pdf"], strict=True))]
+        spark.createDataFrame(rows, "node int, bin int, lo double, hi double, pdf double, non_null double, grain double").coalesce(1).write.mode("overwrite").parquet(f"{path}/leaf_bins")
+        spark.createDataFrame([(self.columns, self.rows, json.dumps({c: [g.edges, g.alone, g.grain] for c, g in self.grid.items()}))], "columns array<string>, rows long, grid string").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Model:
@@ -369,8 +451,8 @@ class Model:
 
         bins: dict[int, dict] = {}
         for r in spark.read.parquet(f"{path}/leaf_bins").orderBy("node", "bin").collect():
-            b = bins.setdefault(r.node, {"lo": [], "hi": [], "pdf": [], "non_null": r.non_null})
+            b = bins.setdefault(r.node, {"lo": [], "hi": [], "pdf": [], "non_null": r.non_null, **({"grain": r.grain} if r.grain else {})})
             for k in ("lo", "hi", "pdf"):
                 b[k].append(r[k])
         bounds = {i: json.loads(r.box) for i, r in rows.items() if r.box != "null"}
-        return cls(meta.columns, build(0), meta.rows, bins, {i: r.weight for i, r in rows.items() if r.weight is not None}, bounds)
+        return cls(meta.columns, build(0), meta.rows, bins, {i: r.weight for i, r in rows.items() if r.weight is not None}, bounds, {c: Grid(*g) for c, g in json.loads(meta.grid).items()})
