@@ -62,6 +62,15 @@ def split_queries(groups: list[tuple[int, int]], heavy: int = 7, least: float =
     return (found, cut) if cut >= least and len(found) > 1 else ([[m for m, _ in sorted(groups)]], cut)
 
 
+def cut_share(groups: list[tuple[int, int]], sides: list[list[int]]) -> float:
+    """Share of the weight between distinct masks (mask, n) that lies between the sides; a mask on no side goes where its columns are shared most."""
+    home = {m: i for i, s in enumerate(sides) for m in s}
+    place = lambda m: home.get(m, max(range(len(sides)), key=lambda i: (max((m & x).bit_count() for x in sides[i]), -i)))
+    weight = {(a, b): (a & b).bit_count() * (na + nb) for (a, na), (b, nb) in combinations(sorted(groups), 2)}
+    total = sum(weight.values())
+    return sum(w for (a, b), w in weight.items() if place(a) != place(b)) / total if total else 1.0
+
+
 def true_cardinality(table: DataFrame, workload: DataFrame, batch: int = 200) -> DataFrame:
     """(qid, card) by one scan for each batch of queries: every query is one conditional count of the same aggregation, so there is no join between queries and rows. The workload is a stated query set and is read on the driver."""
     boxes: dict[int, list] = {}

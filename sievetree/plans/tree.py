@@ -185,10 +185,12 @@ def grids(df: DataFrame, columns: Sequence[str], max_bins: int) -> tuple[int, di
     return first.n, out
 
 
-def tallies(root: Node, rows: np.ndarray, columns: Sequence[str], grid: dict[str, Grid], base: int = 0) -> list[tuple]:
-    """(node, col, v, n) of some rows, as `count` has them; node numbers from base on. v is the bin's number where the column has a grid."""
+def tallies(root: Node, rows: np.ndarray, columns: Sequence[str], grid: dict[str, Grid], base: int = 0, only: set[int] | None = None) -> list[tuple]:
+    """(node, col, v, n) of some rows, as `count` has them; node numbers from base on; only: of these nodes. v is the bin's number where the column has a grid."""
     out: list[tuple] = []
     for number, column, at in _route(root, rows, np.arange(len(rows))):
+        if only is not None and number not in only:
+            continue
         number += base
         if column >= 0:
             v, name = rows[at, column], columns[column]
@@ -214,13 +216,13 @@ def tally_batch(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b), pa.array(c, pa.float64()), pa.array(d, pa.int64())], ["node", "col", "v", "n"])
 
 
-def count(df: DataFrame, columns: Sequence[str], root: Node, grid: dict[str, Grid] | None = None) -> DataFrame:
+def count(df: DataFrame, columns: Sequence[str], root: Node, grid: dict[str, Grid] | None = None, only: set[int] | None = None) -> DataFrame:
     """(node, col, v, n) over all rows: value counts of leaves; for children of sums, rows as col '' and the box as '<c' and '>c' with the bound in v."""
     grid = grid or {}
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in dep.batches_to_rows(batches, columns):
-            if out := tallies(root, rows, columns, grid):
+            if out := tallies(root, rows, columns, grid, only=only):
                 yield tally_batch(out)
 
     return added_up(df.select(*[F.col(c).cast("double").alias(c) for c in columns]).mapInArrow(task, TALLIES))
