@@ -7,8 +7,9 @@ Two sets of similarity 4/5 or more have a shingle in common among the n - ceil(4
 it is the same for all (prefix filter). The order puts shingles that a small sample of the documents repeats last: it decides how many
 candidates there are, never which links are found. Candidates are compared by the size of their intersection.
 
-Stars first: in each prefix shingle's list of documents, every one is compared with one centre. Then all pairs of each list that are not
-in one component yet, so large groups of copies take no pairs of all with all.
+Stars first: in each prefix shingle's list of documents, every one is compared with one centre. Then the pairs of each list that are not
+in one component yet: those outside the component that holds most of the list, with each other and with it. So a group of copies, however
+large, takes no pairs of all with all; what its stars left out is compared with it.
 """
 
 from __future__ import annotations
@@ -161,16 +162,19 @@ def links(docs: DataFrame, width: int = WIDTH, found: DataFrame | None = None) -
     edges, label = None, nodes.withColumn("root", F.col("node"))
     for star in range(STARS + 1):
         held = lists.join(label, "node")
-        open_lists = held.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle")
-        held = held.join(open_lists, "shingle", "left_semi")
+        open_lists = held.groupBy("shingle", "root").agg(F.count("*").alias("k")).groupBy("shingle").agg(F.count("*").alias("roots"), F.max(F.struct("k", "root")).alias("top")).where("roots > 1")
+        held = held.join(open_lists.select("shingle", F.col("top.root").alias("most")), "shingle")
         if star < STARS:
             # A centre is the node of a list that comes first in an order of this round. Pairs are counted in the lists it is the centre of
             # only, so some are passed over here; the last round has them.
             centre = held.groupBy("shingle").agg(F.min_by(F.struct("node", "n", "root"), F.xxhash64("node", F.lit(star))).alias("c"))
             pairs = held.join(centre, "shingle").where(F.col("root") != F.col("c.root")).select(F.col("node").alias("a"), F.col("c.node").alias("b"), F.col("n").alias("n_a"), F.col("c.n").alias("n_b"))
         else:
-            other = held.select("shingle", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("other"))
-            pairs = held.withColumnRenamed("node", "a").withColumnRenamed("n", "n_a").join(other, "shingle").where((F.col("a") < F.col("b")) & (F.col("root") != F.col("other"))).select("a", "b", "n_a", "n_b")
+            held = written(held, "open-lists")
+            few = held.where(F.col("root") != F.col("most")).select("shingle", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("own"))
+            once = (F.col("root") == F.col("most")) | (F.col("a") < F.col("node"))
+            pairs = few.join(held, "shingle").where((F.col("own") != F.col("root")) & once)
+            pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"), F.when(F.col("a") < F.col("node"), F.col("n_a")).otherwise(F.col("n")).alias("n_a"), F.when(F.col("a") < F.col("node"), F.col("n")).otherwise(F.col("n_a")).alias("n_b"))
         pairs = pairs.where(5 * F.least("n_a", "n_b") >= 4 * F.greatest("n_a", "n_b"))
         new = written(_alike(docs, pairs, found, width), "similar-pairs")
         edges = new if edges is None else edges.unionAll(new)
