@@ -1,7 +1,8 @@
 """Join estimation over binned keys: partition statistics, special values, recursive combination, merging; and bucket bounds.
 
 A table is a row for each combination of key bins, with its rows and distinct keys; special values, keys whose joins are largest,
-can have bins of their own of width 1. Estimates never touch base rows again.
+can have bins of their own of width 1. `estimate` counts each table's filter exactly, by a scan of the table for every query;
+`join_train` keeps models in its place and scans nothing.
 """
 
 from __future__ import annotations
@@ -124,6 +125,32 @@ def eliminate(tables: Sequence[DataFrame], share: float = 1.0) -> DataFrame:
     return out.select("bucket", (F.pow("even", F.lit(1.0 - share)) * F.pow("bound", F.lit(share))).alias("estimate"))
 
 
+def bucket_stats_by(df: DataFrame, keys: dict[str, tuple[str, float, float]], buckets: int) -> DataFrame:
+    """(the buckets, n, mcv_n, ndv) of a table by one or more keys; keys: bucket column -> (key, low, high). mcv_n: rows of the commonest combination of keys."""
+    places = [F.floor((F.col(k) - low) / (high - low + 1) * buckets).cast("long").alias(b) for b, (k, low, high) in keys.items()]
+    rows = df.na.drop(subset=[k for k, _, _ in keys.values()])
+    counts = rows.groupBy(*places, *[F.col(k).alias(f"key_{b}") for b, (k, _, _) in keys.items()]).agg(F.count("*").alias("n"))
+    return counts.groupBy(*keys).agg(F.sum("n").alias("n"), F.max("n").alias("mcv_n"), F.count("*").alias("ndv"))
+
+
+def domain_table(keys: Sequence[Sequence[str]], sizes: Sequence[int]) -> int:
+    """Which bucket list drives an elimination: of those with the most keys, the shortest, then the first."""
+    return min(range(len(keys)), key=lambda i: (-len(keys[i]), sizes[i], i))
+
+
+def eliminate_by(lists: Sequence[DataFrame]) -> DataFrame:
+    """(the buckets, bound) of an equi-join over several keys, from bucket lists (bucket_..., n, mcv_n, ndv) each with some of the keys: the first list has all. bound: the product of the commonest keys' rows times the least n/mcv; buckets that a list lacks fall away."""
+    names = [c for c in lists[0].columns if c.startswith("bucket")]
+    out = lists[0].select(*names, F.col("mcv_n").cast("double").alias("top"), (F.col("n") / F.col("mcv_n")).alias("least"))
+    for other in lists[1:]:
+        own = [c for c in other.columns if c.startswith("bucket")]
+        if not set(own) <= set(names):
+            raise ValueError("the first list must have every key")
+        its = other.select(*own, F.col("mcv_n").cast("double").alias("its_top"), (F.col("n") / F.col("mcv_n")).alias("its_least"))
+        out = out.join(its, own).select(*names, (F.col("top") * F.col("its_top")).alias("top"), F.least("least", "its_least").alias("least"))
+    return out.select(*names, (F.col("top") * F.col("least")).alias("bound"))
+
+
 def bucket_filter(stats: DataFrame, first: int | None = None, last: int | None = None) -> DataFrame:
     """The buckets that a range of the key reaches."""
     out = stats if first is None else stats.where(F.col("bucket") >= first)
