@@ -6,16 +6,16 @@ has its share of the training counts, one more for all words never seen. Biases
 untrained model is the unigram model and training only adds what the state tells.
 
 Gates: z, r = sigmoid(x + U h), n = tanh(x_n + r * (U_n h)), h' = (1-z) n + z h; x is a learned row per input word.
-Training is truncated backpropagation through windows of WINDOW tokens; the state, without gradient, goes from window to window. Every
-token is learned from; texts over SEGMENT tokens are cut there for training alone, so that one long text does not leave the lanes empty
-(a later segment starts with its real previous word and a state of zero). Scoring never cuts.
+Training is truncated backpropagation through windows of WINDOW tokens; the state, without gradient, goes from window to window, through
+the whole text. Every token is learned from. A run lays SEGMENT tokens of a text into a lane at most, so that one long text does not leave
+the other lanes empty; what follows is laid into the next run, with the state that the run before left and its real previous word.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-HIDDEN, CLASS, WINDOW, LANES, SEGMENT = 16, 64, 16, 256, 1024
+HIDDEN, CLASS, WINDOW, LANES, SEGMENT = 16, 64, 16, 256, 2048
 RATE, CLIP, LIMIT = 0.2, 5.0, 60.0
 #: Names and order of the parameters.
 PARTS = ("x", "u", "uc", "bc", "uw", "bw")
@@ -171,11 +171,58 @@ def token_scores(model, h: np.ndarray, tokens: np.ndarray, words: int) -> np.nda
 
 
 def train(model, sequences: list[np.ndarray], words: int, width: int = LANES, window: int = WINDOW, rate: float = RATE, segment: int = SEGMENT) -> int:
-    """One pass of truncated backpropagation, in place, with Adagrad steps; returns the tokens learned from."""
-    if not sequences:
-        return 0
-    sequences, previous = segments(sequences, segment)
-    token, before, _, fresh = _lay(sequences, min(width, len(sequences)), previous)
+    """One pass of truncated backpropagation over whole texts, in place, with Adagrad steps; returns the tokens learned from."""
+    trainer = Trainer(model, words, width, window, rate, segment)
+    return trainer.run(sequences) + trainer.finish()
+
+
+class Trainer:
+    """Texts come in runs. `waiting` has what is left of texts over `segment` tokens: (pieces, the token before each, the state); each run takes the next piece of every one."""
+
+    def __init__(self, model, words: int, width: int = LANES, window: int = WINDOW, rate: float = RATE, segment: int = SEGMENT):
+        self.model, self.words, self.width, self.window, self.rate, self.segment = model, words, width, window, rate, segment
+        self.waiting: list[tuple[list[np.ndarray], np.ndarray, np.ndarray]] = []
+
+    @property
+    def waits(self) -> int:
+        """Tokens of waiting texts that the next run takes."""
+        return sum(len(pieces[0]) for pieces, _, _ in self.waiting)
+
+    def run(self, sequences: list[np.ndarray]) -> int:
+        """Learns from the first piece of each text and the next one of each that waits; returns the tokens learned from."""
+        blank = np.zeros(HIDDEN, np.float32)
+        todo = [(*segments([s], self.segment), blank) for s in sequences if len(s)] + self.waiting
+        self.waiting = []
+        if not todo:
+            return 0
+        states = np.array([state for _, _, state in todo])
+        more = np.array([len(pieces) > 1 for pieces, _, _ in todo])
+        learned, states = self._learn([pieces[0] for pieces, _, _ in todo], np.array([before[0] for _, before, _ in todo], np.int32), states, more)
+        self.waiting = [(pieces[1:], before[1:], states[i]) for i, (pieces, before, _) in enumerate(todo) if more[i]]
+        return learned
+
+    def finish(self) -> int:
+        learned = 0
+        while self.waiting:
+            learned += self.run([])
+        return learned
+
+    def _learn(self, sequences: list[np.ndarray], previous: np.ndarray, begin: np.ndarray, wanted: np.ndarray) -> tuple[int, np.ndarray]:
+        """(tokens learned from, the state behind each sequence that is wanted), from the state before each."""
+        return _learn(self.model, sequences, previous, begin, wanted, self.words, self.width, self.window, self.rate)
+
+
+def _learn(model, sequences: list[np.ndarray], previous: np.ndarray, begin: np.ndarray, wanted: np.ndarray, words: int, width: int, window: int, rate: float) -> tuple[int, np.ndarray]:
+    token, before, owner, fresh = _lay(sequences, min(width, len(sequences)), previous)
+    # Where a sequence starts that has a state, and where one ends whose state is wanted: (time, lane, sequence).
+    at_time, at_lane = np.nonzero(fresh)
+    at_owner = owner[at_time, at_lane]
+    held_over = begin.any(1)[at_owner]
+    starts = (at_time[held_over], at_lane[held_over], at_owner[held_over])
+    lengths = np.fromiter(map(len, sequences), np.int64, len(sequences))
+    ending = wanted[at_owner]
+    ends_at = (at_time[ending] + lengths[at_owner[ending]] - 1, at_lane[ending], at_owner[ending])
+    behind = np.zeros((len(sequences), HIDDEN), np.float32)
     squares = {p: np.full(model[p].shape, 1e-2, np.float32) for p in PARTS}
     carried = np.zeros((token.shape[1], HIDDEN), np.float32)
     active = (token >= 0).sum(1)
@@ -194,13 +241,22 @@ def train(model, sequences: list[np.ndarray], words: int, width: int = LANES, wi
         tokens = np.concatenate([token[t, : active[t]] for t in span])
         carry = np.concatenate([~fresh[t, : active[t]] for t in span])[:, None].astype(np.float32)
         gathered = model["x"][inputs]
+        first = ends - active[at : span.stop]
         held, z, r, cand, gn, states = (np.empty((n_all, HIDDEN), np.float32) for _ in range(6))
+        given = None
+        if len(own := np.flatnonzero((starts[0] >= at) & (starts[0] < span.stop))):
+            given = np.zeros((n_all, HIDDEN), np.float32)
+            given[first[starts[0][own] - at] + starts[1][own]] = begin[starts[2][own]]
         h, a = carried, 0
         for b in ends.tolist():
             np.multiply(h[: b - a], carry[a:b], out=held[a:b])
+            if given is not None:
+                held[a:b] += given[a:b]
             states[a:b], z[a:b], r[a:b], cand[a:b], gn[a:b] = _step(model, held[a:b], gathered[a:b])
             h, a = states[a:b], b
         carried = h
+        if len(own := np.flatnonzero((ends_at[0] >= at) & (ends_at[0] < span.stop))):
+            behind[ends_at[2][own]] = states[first[ends_at[0][own] - at] + ends_at[1][own]]
         learned += n_all
         cls = _class_of(tokens, words)
         _, e, total = _classes(model, states)
@@ -254,4 +310,4 @@ def train(model, sequences: list[np.ndarray], words: int, width: int = LANES, wi
         rows = rows[order]
         firsts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
         move("x", np.add.reduceat(d_x[order], firsts), rows[firsts])
-    return learned
+    return learned, behind

@@ -4,9 +4,11 @@ Counts: every training document is tokenised and every word counted, pre-aggrega
 commonest words, a bounded list, are broadcast with the model; counts of all others stay in a table. The LEARNED commonest have a
 learned softmax, all others belong to a tail class by their form and have their counted share of it.
 
-Training: each task learns from its own documents, whole texts, starting at the model the counts give, and the weights are
-averaged by tokens. Counts, biases and recurrent weights are of every token of every training document, so training grows with the
-corpus.
+Training: documents are dealt by hash to shards of about SHARD_TOKENS tokens (from MAX_SHARDS shards on, shards grow instead); each
+shard learns from its documents, whole texts, starting at the model the counts give, and the shards' weights are averaged by tokens.
+Shards and the order in them follow from the documents, so the weights are the same however many tasks and machines there are. Long
+documents come early in their shard, so that they end with it. Counts, biases and recurrent weights are of every token of every
+training document, so training grows with the corpus.
 
 Scoring: every document, whole, the state carried from its first token to its end. Documents are encoded once and written as token
 numbers; words outside the known list are beside them as (word, times) and meet the count table in a join; common words never go
@@ -38,6 +40,7 @@ LEARNED, KNOWN = 2048, 60_000
 #: No word holds white space, so the end token can be written as a line feed.
 END = b"\n"
 FORMS = 18
+SHARD_TOKENS, MAX_SHARDS, RUN_TOKENS = 3_000_000, 4096, 500_000
 _FLUSH_WORDS, _FLUSH_TOKENS, _BLOCK = 200_000, 2_000_000, 8192
 
 
@@ -182,25 +185,30 @@ def _ids(column: pa.Array) -> Iterator[np.ndarray]:
 
 
 def _train(batches: Iterator[pa.RecordBatch], learned_words: int, first) -> Iterator[pa.RecordBatch]:
+    """The rows of one shard, in its order."""
     model, learned, run, size = gru.restore(first.value, learned_words, FORMS), 0, [], 0
+    trainer, shard = gru.Trainer(model, learned_words), 0
     for batch in batches:
+        if batch.num_rows:
+            shard = batch.column("shard")[0].as_py()
         for ids in _ids(batch.column("tokens")):
             run.append(ids)
-            size += len(ids)
-            if size >= 500_000:
-                learned += gru.train(model, run, learned_words)
-                run, size = [], 0
-    learned += gru.train(model, run, learned_words)
+            size += min(len(ids), trainer.segment)
+            if size >= RUN_TOKENS:
+                learned += trainer.run(run)
+                run, size = [], trainer.waits
+    learned += trainer.run(run) + trainer.finish()
     if learned:
         weights = gru.flatten(model).astype("<f8") * learned
-        salt = TaskContext.get().partitionId() % 64
+        salt = shard % 64
         parts = [weights[i : i + _BLOCK].tobytes() for i in range(0, len(weights), _BLOCK)]
         n = len(parts)
         yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([salt] * n, pa.int32()), pa.array([learned] * n, pa.int64()), pa.array(parts, pa.binary())], ["block", "salt", "n", "weights"])
 
 
 def _sum_blocks(table: pa.Table) -> pa.Table:
-    total = np.sum([np.frombuffer(x.as_py(), "<f8") for x in table.column("weights")], axis=0)
+    # In one order always, as sums of floating-point numbers depend on it.
+    total = np.sum([np.frombuffer(x, "<f8") for x in sorted(table.column("weights").to_pylist())], axis=0)
     return pa.table({"block": table.column("block").slice(0, 1), "salt": table.column("salt").slice(0, 1), "n": pa.array([sum(table.column("n").to_pylist())], pa.int64()), "weights": pa.array([total.tobytes()], pa.binary())})
 
 
@@ -209,7 +217,12 @@ def fit(encoded: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
     first = gru.flatten(gru.start(vocabulary.head, vocabulary.tail_c))
     begin, learned = encoded.sparkSession.sparkContext.broadcast(first), vocabulary.learned
     schema = "block int, salt int, n long, weights binary"
-    own = encoded.where(~F.col("held_out")).select("tokens")
+    shards = max(1, min(MAX_SHARDS, math.ceil(vocabulary.n / SHARD_TOKENS)))
+    steps = max(1.0, vocabulary.n / shards / gru.LANES)
+    own = encoded.where(~F.col("held_out")).select("tokens", F.xxhash64("doc_id", "tokens").alias("h"), "n_tokens")
+    early = F.greatest(F.lit(0.0), 1 - F.col("n_tokens") / steps)
+    own = own.select("tokens", F.pmod("h", F.lit(shards)).cast("int").alias("shard"), (F.pmod(F.xxhash64("h"), F.lit(1 << 30)) * early).alias("turn"), "h")
+    own = own.repartitionById(shards, "shard").sortWithinPartitions("turn", "h").select("shard", "tokens")
     sums = own.mapInArrow(lambda b: _train(b, learned, begin), schema).groupBy("block", "salt").applyInArrow(_sum_blocks, schema).groupBy("block").applyInArrow(_sum_blocks, schema)
     blocks = sorted(sums.collect(), key=lambda r: r.block)
     if not blocks:

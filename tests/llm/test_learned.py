@@ -153,3 +153,46 @@ def test_scoring_in_runs_is_scoring_at_once(monkeypatch):
     assert np.allclose(found[0], found[1], atol=1e-4)
     with pytest.raises(ValueError):
         lm_score.score(None, learned=1 << 16)
+
+
+def test_training_carries_the_state_through_a_long_text():
+    """Cut at every 5 tokens, a text learns as it does whole, but for the windows, which end at the cuts: with windows of 5 nothing differs."""
+    rng = np.random.default_rng(3)
+    long = rng.integers(0, 131, 40).astype(np.int32)
+    models = []
+    for segment in (5, 1000):
+        model = gru.start(rng.integers(1, 2, 128).astype(float), np.ones(3))
+        model["uc"] += np.random.default_rng(4).normal(0, 0.3, model["uc"].shape).astype(np.float32)
+        trainer = gru.Trainer(model, 128, width=1, window=5, segment=segment)
+        states = []
+        trainer._learn = lambda *a, t=trainer, s=states: (lambda r: (s.append(r[1]), r)[1])(gru._learn(t.model, *a, t.words, t.width, t.window, 0.0))
+        assert trainer.run([long]) + trainer.finish() == 40
+        models.append(states)
+    # With no steps taken the states behind the pieces are those of the recurrence over the whole text.
+    model = gru.start(np.ones(128), np.ones(3))
+    model["uc"] += np.random.default_rng(4).normal(0, 0.3, model["uc"].shape).astype(np.float32)
+    h = np.zeros((1, gru.HIDDEN), np.float32)
+    want = []
+    for i, t in enumerate(np.r_[-1, long[:-1]]):
+        h = gru._step(model, h, model["x"][[t]])[0]
+        if i % 5 == 4:
+            want.append(h[0].copy())
+    assert np.allclose([s[0] for s in models[0][:-1]], want[:-1], atol=1e-6)
+
+
+def test_texts_of_all_lengths_are_learned_from_once():
+    rng = np.random.default_rng(8)
+    model = gru.start(np.ones(128), np.ones(3))
+    trainer = gru.Trainer(model, 128, width=4, window=4, segment=8)
+    texts = [rng.integers(0, 131, n).astype(np.int32) for n in (1, 8, 9, 100, 16, 3, 50)]
+    learned = trainer.run(texts[:4])
+    assert len(trainer.waiting) == 2 and trainer.waits == 1 + 8
+    learned += trainer.run(texts[4:]) + trainer.finish()
+    assert learned == sum(map(len, texts)) and trainer.run([]) == 0
+
+
+def test_scores_do_not_depend_on_how_rows_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "SHARD_TOKENS", 900)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in corpus(120)], "doc_id long, text string")
+    scores = [{r.doc_id: r.score for r in lm_score.score(docs.repartition(k), learned=64).collect()} for k in (1, 7)]
+    assert all(abs(scores[0][i] - scores[1][i]) < 1e-6 * abs(scores[0][i]) for i in scores[0])
