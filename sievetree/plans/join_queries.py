@@ -123,3 +123,22 @@ def fixed_tree_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
         node.number = i
     model = Model.fit(_table(spark, sf_dir, "lineitem"), COLUMNS, np.zeros((0, 4, 2)), root=root)
     return model.estimate(range_workload(spark)).select("qid", F.round("p", 9).alias("p"))
+
+
+@_add(
+    f"""{_TWO}, gb AS (SELECT CAST(l_quantity AS DOUBLE) AS v, count(*) AS n FROM lineitem GROUP BY 1), gp AS (SELECT v, CASE WHEN v <= 25.5 THEN 0 ELSE 1 END AS side, CAST(n + 1 AS DOUBLE) / (sum(n) OVER () + count(*) OVER ()) AS pdf FROM gb),
+ql AS (SELECT qid, max(lo) FILTER (WHERE col = 'l_quantity') AS lo, max(hi) FILTER (WHERE col = 'l_quantity') AS hi FROM w GROUP BY qid),
+pl AS (SELECT ql.qid, s.side, CASE WHEN ql.lo IS NULL THEN (SELECT n FROM sz WHERE sz.side = s.side) / CAST((SELECT count(*) FROM lineitem) AS DOUBLE) ELSE coalesce((SELECT sum(pdf) FROM gp WHERE gp.side = s.side AND v BETWEEN ql.lo AND ql.hi), 0) END AS p FROM ql, (SELECT side FROM sz) s),
+rr AS (SELECT w.qid, s.side, w.col, coalesce(sum(pdf) FILTER (WHERE pd.lo <= w.hi AND pd.hi >= w.lo), 0) AS p FROM w, (SELECT side FROM sz) s JOIN pd ON pd.side = s.side WHERE w.col <> 'l_quantity' AND pd.col = w.col GROUP BY w.qid, s.side, w.col),
+rt AS (SELECT qid, side, product(p) AS p FROM rr GROUP BY qid, side)
+SELECT pl.qid, round(sum(pl.p * coalesce(rt.p, 1)), 9) AS p FROM pl LEFT JOIN rt ON pl.qid = rt.qid AND pl.side = rt.side GROUP BY pl.qid"""
+)
+def factorize_tree_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree whose root models three columns given the box of the fourth, over all rows."""
+    boxes = [Node("product", [1, 2, 3], [Node("leaf", [c]) for c in (1, 2, 3)], "data") for _ in range(2)]
+    inf = float("inf")
+    root = Node("factorize", [0, 1, 2, 3], [Node("leaf", [0]), *boxes], given=[0], ranges=[[[-inf, 25.5]], [[25.5, inf]]])
+    for i, node in enumerate(root.walk()):
+        node.number = i
+    model = Model.fit(_table(spark, sf_dir, "lineitem"), COLUMNS, np.zeros((0, 4, 2)), root=root)
+    return model.estimate(range_workload(spark)).select("qid", F.round("p", 9).alias("p"))

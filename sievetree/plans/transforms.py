@@ -8,6 +8,7 @@ from __future__ import annotations
 import copy
 import json
 from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,19 @@ def values(model: Model, rows: np.ndarray) -> dict[int, np.ndarray]:
     """For each node the probability of each row's bins; NaN is summed out. Children of a split all model the same rows, so the first stands for it."""
     out: dict[int, np.ndarray] = {}
 
+    def given_box(node: Node, kids: list[np.ndarray]) -> np.ndarray:
+        """The value of the box that a row is in; of all boxes its known given values allow, by their rows, where some are NaN."""
+        total, mass = np.zeros(len(rows)), np.zeros(len(rows))
+        for i, kid in enumerate(kids):
+            open_ = np.ones(len(rows), bool)
+            for c, (lo, hi) in zip(node.given, node.ranges[i], strict=True):
+                x = rows[:, c]
+                open_ &= np.isnan(x) | (((x > lo) | (lo == -np.inf)) & (x <= hi))
+            w = float(model.weights.get(node.children[1 + i].number, 0))
+            total += w * open_ * kid
+            mass += w * open_
+        return np.divide(total, mass, out=np.zeros(len(rows)), where=mass > 0)
+
     def fill(node: Node) -> np.ndarray:
         if node.kind == "leaf":
             x, b = rows[:, node.columns[0]], model.bins.get(node.number)
@@ -40,7 +54,9 @@ def values(model: Model, rows: np.ndarray) -> dict[int, np.ndarray]:
             found = np.where(np.isnan(x), 1.0, p)
         else:
             kids = [fill(c) for c in node.children]
-            if node.kind == "product":
+            if node.kind == "factorize":
+                found = kids[0] * given_box(node, kids[1:])
+            elif node.kind == "product":
                 found = np.prod(kids, axis=0)
             elif node.kind == "split":
                 found = kids[0]
@@ -107,7 +123,9 @@ def reweigh(model: Model, df: DataFrame, rounds: int = 3) -> Model:
 
 
 def condition(model: Model, lo: np.ndarray, hi: np.ndarray) -> Model:
-    """The model of the rows inside a box: leaves cut to it, sums re-weighted by how much of each child is inside, `rows` the rows expected there. Raises if none is."""
+    """The model of the rows inside a box: leaves cut to it, sums re-weighted by how much of each child is inside, `rows` the rows expected there. Raises if none is, and for trees with factorize nodes, whose boxes a cut would part."""
+    if any(n.kind == "factorize" for n in model.root.walk()):
+        raise ValueError("factorize nodes are not conditioned; ask for probabilities")
     out = Model(model.columns, model.root, model.rows, copy.deepcopy(model.bins), dict(model.weights), model.bounds)
 
     def cut(node: Node) -> float:
@@ -153,9 +171,10 @@ def moment(model: Model, column: str, order: int = 1, lo: np.ndarray | None = No
             x = (np.asarray(b["lo"]) + np.asarray(b["hi"])) / 2
             return b["non_null"], b["non_null"] * float((np.asarray(b["pdf"]) * x**order).sum())
         kids = [k for k in node.children if c in k.columns]
-        if node.kind != "sum":
+        if node.kind != "sum" and (node.kind != "factorize" or c in node.given):
             return fold(kids[0])
-        parts = [(w, *fold(k)) for w, k in zip(_shares(own, node), node.children, strict=True) if w > 0]
+        held = replace(node, children=kids)
+        parts = [(w, *fold(k)) for w, k in zip(_shares(own, held), kids, strict=True) if w > 0]
         return sum(w * m for w, m, _ in parts), sum(w * s for w, _, s in parts)
 
     mass, total = fold(own.root)
@@ -168,6 +187,8 @@ def variance(model: Model, column: str, lo: np.ndarray | None = None, hi: np.nda
 
 def gradients(model: Model, row: np.ndarray) -> dict[int, float]:
     """The derivative of a row's probability by each node's value."""
+    if any(n.kind == "factorize" for n in model.root.walk()):
+        raise ValueError("no gradients of factorize nodes")
     value = {k: float(v[0]) for k, v in values(model, np.asarray(row, float)[None]).items()}
     out = {n.number: 0.0 for n in model.root.walk()}
 
@@ -198,7 +219,7 @@ def simplified(model: Model) -> Model:
         children = [k for k, _ in kids]
         if node.kind == "product":
             children = [g for k in children for g in (k.children if k.kind == "product" else [k])]
-        return Node(node.kind, node.columns, children, node.by, node.centres, node.fill, node.masks, node.number), moved
+        return replace(node, children=children), moved
 
     root, moved = shorter(copy.deepcopy(model.root))
     weights, bounds = dict(model.weights), dict(model.bounds)
@@ -216,6 +237,16 @@ def simplified(model: Model) -> Model:
     return Model(model.columns, root, model.rows, again(model.bins), again(weights), again(bounds))
 
 
+def factorized_parts(model: Model) -> list[dict]:
+    """A row for each leaf behind a factorize node's boxes: the node, its box as intervals of the given columns, the leaf, its column and the box's rows."""
+    out = []
+    for node in model.root.walk():
+        if node.kind == "factorize":
+            for child, box in zip(node.children[1:], node.ranges, strict=True):
+                out += [{"node": node.number, "box": {model.columns[c]: tuple(b) for c, b in zip(node.given, box, strict=True)}, "leaf": leaf.number, "column": model.columns[leaf.columns[0]], "rows": model.weights.get(child.number, 0)} for leaf in child.walk() if leaf.kind == "leaf"]
+    return out
+
+
 def shared_parts(model: Model) -> dict[int, int]:
     """node -> the first node whose subtree has the same structure and numbers."""
     first: dict[str, int] = {}
@@ -241,7 +272,7 @@ def narrowed(root: Node, most: int = 2) -> Node:
         while node.kind == "product" and len(children) > most:
             groups = [children[i : i + most] for i in range(0, len(children), most)]
             children = [g[0] if len(g) == 1 else Node("product", sorted(c for k in g for c in k.columns), g, node.by) for g in groups]
-        return Node(node.kind, node.columns, children, node.by, node.centres, node.fill, node.masks)
+        return replace(node, children=children)
 
     out = narrow(root)
     for i, node in enumerate(out.walk()):
@@ -253,7 +284,7 @@ def to_text(model: Model) -> str:
     """The whole model as JSON."""
 
     def write(node: Node) -> dict:
-        return {"kind": node.kind, "columns": node.columns, "by": node.by, "centres": node.centres, "fill": node.fill, "masks": node.masks, "number": node.number, "weight": model.weights.get(node.number), "bounds": model.bounds.get(node.number), "bins": model.bins.get(node.number), "children": [write(c) for c in node.children]}
+        return {"kind": node.kind, "columns": node.columns, "by": node.by, "centres": node.centres, "fill": node.fill, "masks": node.masks, "given": node.given, "ranges": node.ranges, "number": node.number, "weight": model.weights.get(node.number), "bounds": model.bounds.get(node.number), "bins": model.bins.get(node.number), "children": [write(c) for c in node.children]}
 
     return json.dumps({"columns": model.columns, "rows": model.rows, "root": write(model.root)}, default=lambda x: x.item())
 
@@ -266,7 +297,7 @@ def from_text(text: str) -> Model:
         for store, k in ((bins, "bins"), (weights, "weight"), (bounds, "bounds")):
             if d[k] is not None:
                 store[d["number"]] = d[k]
-        return Node(d["kind"], d["columns"], [read(c) for c in d["children"]], d["by"], d["centres"], d["fill"], d["masks"], d["number"])
+        return Node(d["kind"], d["columns"], [read(c) for c in d["children"]], d["by"], d["centres"], d["fill"], d["masks"], d["number"], d.get("given", []), d.get("ranges", []))
 
     root = read(whole["root"])
     return Model(whole["columns"], root, whole["rows"], bins, weights, bounds)
@@ -281,6 +312,8 @@ def formula(model: Model) -> str:
         kids = [write(c) for c in node.children]
         if node.kind == "product":
             return " * ".join(kids)
+        if node.kind == "factorize":
+            return f"{kids[0]} * box(" + ", ".join(kids[1:]) + ")"
         if node.kind == "split":
             return "route(" + ", ".join(kids) + ")"
         return "(" + " + ".join(f"{w:.6g} * {k}" for w, k in zip(_shares(model, node), kids, strict=True)) + ")"

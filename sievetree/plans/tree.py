@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,7 @@ from ..operators.workload_stats import split_queries
 
 @dataclass
 class Params:
-    """least_rows: share of the rows below which no more rows are split. steep, lower, upper: the adaptive threshold. coaccess: weight from which columns count as queried together. by_rows: a name of splits.ROWS; by_columns: rdc or poisson; by_queries: maxcut or kmeans. max_bins: distinct values from which a column is counted by intervals."""
+    """least_rows: share of the rows below which no more rows are split. steep, lower, upper: the adaptive threshold. coaccess: weight from which columns count as queried together. by_rows: a name of splits.ROWS; by_columns: rdc or poisson; by_queries: maxcut or kmeans. max_bins: distinct values from which a column is counted by intervals. strong: dependence from which columns are modelled given the others (a factorize node; none above 1); by_conditions: median or grid, where its boxes are cut."""
 
     sample: int = 50_000
     least_rows: float = 0.01
@@ -39,11 +39,13 @@ class Params:
     by_columns: str = "rdc"
     by_queries: str = "maxcut"
     max_bins: int = 2000
+    strong: float = 1.1
+    by_conditions: str = "median"
 
 
 @dataclass
 class Node:
-    """kind: leaf, product (independent columns; by 'data', 'workload' or 'constant'), sum (row clusters by `centres`), split (queries by `masks`). Children share columns in sum and split, part them in product."""
+    """kind: leaf, product (independent columns; by 'data', 'workload' or 'constant'), sum (row clusters by `centres`), split (queries by `masks`), factorize (the first child models the columns `given`, each other one the rest for the rows of its box: `ranges` has for each of them an interval, open below and closed above, of each given column; NULL is below all). Children share columns in sum and split, part them in product."""
 
     kind: str
     columns: list[int]
@@ -53,6 +55,16 @@ class Node:
     fill: list[float] = field(default_factory=list)
     masks: list[list[int]] = field(default_factory=list)
     number: int = -1
+    given: list[int] = field(default_factory=list)
+    ranges: list[list[list[float]]] = field(default_factory=list)
+
+    def in_box(self, i: int, rows: np.ndarray) -> np.ndarray:
+        """Which rows are in a factorize node's i-th box."""
+        out = np.ones(len(rows), bool)
+        for c, (lo, hi) in zip(self.given, self.ranges[i], strict=True):
+            x = np.where(np.isfinite(rows[:, c]), rows[:, c], -np.inf)
+            out &= ((x > lo) | (lo == -np.inf)) & (x <= hi)
+        return out
 
     def walk(self) -> Iterator[Node]:
         yield self
@@ -108,6 +120,12 @@ def learn(rows: np.ndarray, boxes: np.ndarray, params: Params) -> Node:
             if len(sides) > 1:
                 children = [grow(part, columns, queries[np.isin(masks, s)], False) for s in sides]
                 return Node("split", columns, children, masks=sides)
+        if params.strong <= 1:
+            weights = dep.rdc(some)
+            tied = max(dep.components(len(columns), lambda i, j: weights[i, j] >= params.strong), key=len)
+            if 1 < len(tied) < len(columns):
+                right = [columns[i] for i in tied]
+                return factorize(part, [c for c in columns if c not in right], right, queries)
         centres = splits.row_centres(some, params.by_rows)
         full = dep.impute(some)
         label = dep.nearest(full, centres)
@@ -121,6 +139,31 @@ def learn(rows: np.ndarray, boxes: np.ndarray, params: Params) -> Node:
             children.append(grow(mine, columns, queries[near], False))
         return Node("sum", columns, children, centres=centres.tolist(), fill=full.mean(0).tolist())
 
+    def factorize(part: np.ndarray, left: list[int], right: list[int], queries: np.ndarray) -> Node:
+        """Boxes of the left columns are cut until the right ones depend on none of them in a box, or its rows are few."""
+        ranges: list[list[list[float]]] = []
+        children = [grow(part, left, queries, False)]
+
+        def cut(mine: np.ndarray, box: list[list[float]]) -> None:
+            some = mine[:, [*left, *right]]
+            own, scope = list(range(len(left))), list(range(len(left), some.shape[1]))
+            where = None
+            if len(mine) > 2 * least and max(splits.condition_strength(some, scope, own).values()) >= params.upper:
+                where = splits.best_cut(some, scope, own, least=int(least)) if params.by_conditions == "grid" else splits.median_cut(some, scope, own)
+            if where is not None:
+                i, at = where
+                x = np.where(np.isfinite(some[:, i]), some[:, i], -np.inf)
+                low, high = mine[x <= at], mine[x > at]
+                if len(low) and len(high):
+                    for rows, side in ((low, [box[i][0], at]), (high, [at, box[i][1]])):
+                        cut(rows, [side if j == i else b for j, b in enumerate(box)])
+                    return
+            ranges.append(box)
+            children.append(grow(mine, right, queries, False))
+
+        cut(part, [[-np.inf, np.inf] for _ in left])
+        return Node("factorize", sorted([*left, *right]), children, given=left, ranges=ranges)
+
     root = grow(rows, list(range(rows.shape[1])), boxes, False)
     for i, node in enumerate(root.walk()):
         node.number = i
@@ -128,9 +171,15 @@ def learn(rows: np.ndarray, boxes: np.ndarray, params: Params) -> Node:
 
 
 def check(root: Node) -> None:
-    """Product children part their columns, sum and split children share them, numbers are consecutive."""
+    """Product children part their columns, sum and split children share them, a factorize node's first child has the given columns and all others the rest, with an interval of each given column; numbers are consecutive."""
     for i, node in enumerate(root.walk()):
         kids = [c.columns for c in node.children]
+        if node.kind == "factorize":
+            rest = sorted(set(node.columns) - set(node.given))
+            fits = len(kids) > 1 and sorted(kids[0]) == sorted(node.given) and all(sorted(k) == rest for k in kids[1:]) and rest
+            if node.number != i or not fits or len(node.ranges) != len(kids) - 1 or any(len(r) != len(node.given) for r in node.ranges):
+                raise ValueError(f"node {i} is not valid")
+            continue
         good = node.number == i and ((node.kind == "leaf" and len(node.columns) == 1 and not kids) or (node.kind == "product" and sorted(sum(kids, [])) == sorted(node.columns)) or (node.kind in ("sum", "split") and all(k == node.columns for k in kids) and len(kids) > 1))
         if not good:
             raise ValueError(f"node {i} is not valid")
@@ -141,6 +190,13 @@ def _route(node: Node, rows: np.ndarray, at: np.ndarray) -> Iterator[tuple[int,
     if node.kind == "leaf":
         yield node.number, node.columns[0], at
         return
+    if node.kind == "factorize":
+        yield from _route(node.children[0], rows, at)
+        for i, child in enumerate(node.children[1:]):
+            own = at[node.in_box(i, rows[at])]
+            yield child.number, -1, own
+            yield from _route(child, rows, own)
+        return
     label = None
     if node.kind == "sum":
         some = rows[np.ix_(at, node.columns)]
@@ -301,10 +357,31 @@ class Model:
         return float(pdf[touched].sum()) * b["non_null"]
 
     def probability(self, lo: np.ndarray, hi: np.ndarray) -> float:
-        """Of one box. Products skip parts that the query leaves free; sums take 0 for a box that is missed and 1 for one that is covered; splits ask one child."""
+        """Of one box. Products skip parts that the query leaves free; sums take 0 for a box that is missed and 1 for one that is covered; splits ask one child; factorize nodes add up, over their boxes, the given columns' probability inside box and query times the others' in that box."""
         asked = [bool(np.isfinite(a) or np.isfinite(b)) for a, b in zip(lo, hi, strict=True)]
 
-        def value(node: Node) -> float:
+        def factorized(node: Node, asked: list[bool], lo: np.ndarray, hi: np.ndarray) -> float:
+            left, rights = node.children[0], node.children[1:]
+            if not any(asked[c] for c in rights[0].columns):
+                return value(left, asked, lo, hi)
+            total = sum(self.weights.get(c.number, 0) for c in rights)
+            out = 0.0
+            for child, box in zip(rights, node.ranges, strict=True):
+                if not self.weights.get(child.number, 0):
+                    continue
+                if any(asked[c] for c in node.given):
+                    low, high, also = lo.copy(), hi.copy(), list(asked)
+                    for c, (a, z) in zip(node.given, box, strict=True):
+                        if a > -np.inf or z < np.inf:
+                            low[c], high[c], also[c] = max(lo[c], np.nextafter(a, np.inf)), min(hi[c], z), True
+                    p = 0.0 if any(low[c] > high[c] for c in node.given) else value(left, also, low, high)
+                else:
+                    p = self.weights[child.number] / total
+                if p:
+                    out += p * value(child, asked, lo, hi)
+            return out
+
+        def value(node: Node, asked: list[bool], lo: np.ndarray, hi: np.ndarray) -> float:
             if not any(asked[c] for c in node.columns):
                 return 1.0
             if node.kind == "leaf":
@@ -312,15 +389,17 @@ class Model:
                 if b is None:
                     return 0.0
                 return self.leaf_probability(b, lo[node.columns[0]], hi[node.columns[0]])
+            if node.kind == "factorize":
+                return factorized(node, asked, lo, hi)
             if node.kind == "product":
                 out = 1.0
                 for child in node.children:
-                    out *= value(child)
+                    out *= value(child, asked, lo, hi)
                 return out
             if node.kind == "split":
                 mask = sum(1 << i for i, c in enumerate(node.columns) if asked[c])
                 score = [(max((m & mask).bit_count() for m in own), (int(np.bitwise_or.reduce(own)) & mask).bit_count()) for own in node.masks]
-                return value(node.children[max(range(len(score)), key=lambda i: (score[i], -i))])
+                return value(node.children[max(range(len(score)), key=lambda i: (score[i], -i))], asked, lo, hi)
             total = sum(self.weights.get(c.number, 0) for c in node.children)
             out = 0.0
             for child in node.children:
@@ -330,10 +409,10 @@ class Model:
                 sides = [box.get(self.columns[c]) for c in used]
                 if not w or any(s is None or lo[c] > s[1] or hi[c] < s[0] for c, s in zip(used, sides, strict=True)):
                     continue
-                out += w / total * value(child)
+                out += w / total * value(child, asked, lo, hi)
             return out
 
-        return min(1.0, value(self.root))
+        return min(1.0, value(self.root, asked, lo, hi))
 
     def expectation(self, column: str, lo: np.ndarray, hi: np.ndarray) -> float:
         """E[1{box} * x] of a column, by its value's share of each bin: the box narrowed to the bin, times the bin's middle."""
@@ -354,15 +433,25 @@ class Model:
     def marginal(self, columns: Sequence[str]) -> Model:
         """The model of some columns only: other columns are never asked, so their leaves are dropped."""
         keep = {self.columns.index(c) for c in columns}
+        weights, bounds = dict(self.weights), dict(self.bounds)
 
         def cut(node: Node) -> Node | None:
             own = [c for c in node.columns if c in keep]
+            if node.kind == "factorize":  # the given columns stay whole where others hang on them
+                rest = [cut(c) for c in node.children[1:]]
+                if rest[0] is not None:
+                    return replace(node, children=[node.children[0], *rest])
+                if (left := cut(node.children[0])) is not None:  # takes the node's place, with its rows and bounds
+                    for own in (weights, bounds):
+                        if node.number in own:
+                            own[left.number] = own[node.number]
+                return left
             kids = [k for c in node.children if (k := cut(c)) is not None]
             if not own:
                 return None
-            return Node(node.kind, own if node.kind in ("leaf", "product") else node.columns, kids, node.by, node.centres, node.fill, node.masks, node.number)
+            return replace(node, columns=own if node.kind in ("leaf", "product") else node.columns, children=kids)
 
-        return Model(self.columns, cut(self.root), self.rows, self.bins, self.weights, self.bounds, self.grid)
+        return Model(self.columns, cut(self.root), self.rows, self.bins, weights, bounds, self.grid)
 
     def most_probable(self, evidence: dict[str, float]) -> dict[str, float]:
         """Best values of the free columns along the best path, evidence kept."""
@@ -375,6 +464,13 @@ class Model:
                     return sum(p for a, z, p in zip(b["lo"], b["hi"], b["pdf"], strict=True) if a <= fixed[c] <= z), {c: fixed[c]}
                 k = int(np.argmax(b["pdf"]))
                 return b["pdf"][k], {c: (b["lo"][k] + b["hi"][k]) / 2}
+            if node.kind == "factorize":
+                p, own = best(node.children[0])
+                point = np.full((1, len(self.columns)), np.nan)
+                point[0, list(own)] = list(own.values())
+                i = max(range(len(node.ranges)), key=lambda i: (bool(node.in_box(i, point)[0]), -i))
+                q, rest = best(node.children[1 + i])
+                return p * q, {**own, **rest}
             found = [best(c) for c in node.children]
             if node.kind == "product":
                 return float(np.prod([p for p, _ in found])), {k: v for _, d in found for k, v in d.items()}
@@ -403,6 +499,10 @@ class Model:
                     fill(c, at)
             elif node.kind == "split":
                 fill(node.children[0], at)
+            elif node.kind == "factorize":
+                fill(node.children[0], at)
+                for i, c in enumerate(node.children[1:]):
+                    fill(c, at[node.in_box(i, out[at])])
             else:
                 w = np.array([self.weights.get(c.number, 0) for c in node.children], float)
                 side = rng.choice(len(w), len(at), p=w / w.sum())
@@ -432,10 +532,10 @@ class Model:
 
     def statistics(self) -> dict[str, int]:
         nodes = list(self.root.walk())
-        return {k: sum(n.kind == k for n in nodes) for k in ("sum", "product", "split", "leaf")} | {"edges": len(nodes) - 1, "bins": sum(len(b["pdf"]) for b in self.bins.values())}
+        return {k: sum(n.kind == k for n in nodes) for k in ("sum", "product", "split", "factorize", "leaf")} | {"edges": len(nodes) - 1, "bins": sum(len(b["pdf"]) for b in self.bins.values())}
 
     def save(self, spark: SparkSession, path: str) -> None:
-        nodes = [(n.number, n.kind, n.by, n.columns, [c.number for c in n.children], json.dumps([n.centres, n.fill, n.masks]), self.weights.get(n.number), json.dumps(self.bounds.get(n.number))) for n in self.root.walk()]
+        nodes = [(n.number, n.kind, n.by, n.columns, [c.number for c in n.children], json.dumps([n.centres, n.fill, n.masks, n.given, n.ranges]), self.weights.get(n.number), json.dumps(self.bounds.get(n.number))) for n in self.root.walk()]
         spark.createDataFrame(nodes, "node int, kind string, by string, columns array<int>, children array<int>, routing string, weight long, box string").coalesce(1).write.mode("overwrite").parquet(f"{path}/nodes")
         rows = [(k, i, float(a), float(z), float(p), b["non_null"], b.get("grain")) for k, b in self.bins.items() for i, (a, z, p) in enumerate(zip(b["lo"], b["hi"], b["pdf"], strict=True))]
         spark.createDataFrame(rows, "node int, bin int, lo double, hi double, pdf double, non_null double, grain double").coalesce(1).write.mode("overwrite").parquet(f"{path}/leaf_bins")
@@ -448,8 +548,8 @@ class Model:
 
         def build(i: int) -> Node:
             r = rows[i]
-            centres, fill, masks = json.loads(r.routing)
-            return Node(r.kind, list(r.columns), [build(c) for c in r.children], r.by, centres, fill, masks, i)
+            centres, fill, masks, given, ranges = json.loads(r.routing)
+            return Node(r.kind, list(r.columns), [build(c) for c in r.children], r.by, centres, fill, masks, i, given, ranges)
 
         bins: dict[int, dict] = {}
         for r in spark.read.parquet(f"{path}/leaf_bins").orderBy("node", "bin").collect():

@@ -18,6 +18,7 @@ import json
 import time
 import uuid
 from collections.abc import Iterator, Sequence
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -77,6 +78,10 @@ def drifted(root: Node, old: np.ndarray, new: np.ndarray, old_boxes: np.ndarray
             mine, its = sides_of(node, old), sides_of(node, new)
             for i, child in enumerate(node.children):
                 go(child, old[mine == i], new[its == i])
+        elif node.kind == "factorize":
+            go(node.children[0], old, new)
+            for i, child in enumerate(node.children[1:]):
+                go(child, old[node.in_box(i, old)], new[node.in_box(i, new)])
         else:
             for child in node.children:
                 go(child, old, new)
@@ -94,12 +99,15 @@ def rebuilt(root: Node, bad: Sequence[int], rows: np.ndarray, boxes: np.ndarray,
             fresh = learn(rows[:, node.columns], boxes[:, node.columns] if len(boxes) else np.zeros((0, len(node.columns), 2)), params)
             for n in fresh.walk():
                 n.columns = [node.columns[c] for c in n.columns]
+                n.given = [node.columns[c] for c in n.given]
             return fresh
-        out = Node(node.kind, node.columns, [], node.by, node.centres, node.fill, node.masks)
+        out = replace(node, children=[])
         kept.append((node.number, out))
         if node.kind == "sum":
             at = sides_of(node, rows)
             out.children = [go(c, rows[at == i]) for i, c in enumerate(node.children)]
+        elif node.kind == "factorize":
+            out.children = [go(node.children[0], rows), *(go(c, rows[node.in_box(i, rows)]) for i, c in enumerate(node.children[1:]))]
         else:
             out.children = [go(c, rows) for c in node.children]
         return out
