@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remove, scratch, temporary, texts, without, written
+from .common import remove, scratch, temporary, texts, written
 
 WIDTH, RADIUS, BLOCK = 3, 3, 8192
 _EVEN = 0x5555555555555555
@@ -201,6 +201,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, block: int = BLOCK) ->
     return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def dedup(docs: DataFrame, width: int = WIDTH, block: int = BLOCK) -> DataFrame:
-    """The rows of docs that stay: of each component, the document with the smallest id; rows without an id stay."""
-    return without(docs, near_duplicates(docs, width, block).where("doc_id <> component_id").select("doc_id"))
+def dedup(docs: DataFrame, width: int | None = None) -> DataFrame:
+    """The rows of docs that stay when one document of each group of near copies does, that with the smallest id; rows without an id stay. Near copies have a Jaccard similarity of 4/5 or more on shingles of five words: fingerprints link the closest, verified; `similar` finds the rest."""
+    from . import similar  # which builds on this module
+
+    return similar.dedup(docs, width or similar.WIDTH)

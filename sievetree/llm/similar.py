@@ -1,4 +1,8 @@
-"""Documents whose sets of word shingles have a Jaccard similarity of at least 4/5, all of them: an exact similarity join.
+"""What completes SimHash near-dedup: all documents whose sets of word shingles have a Jaccard similarity of at least 4/5.
+
+At that similarity 64-bit fingerprints differ in about ten bits, too many for any grid, so the fingerprints (of `simhash`, here over the
+set of five-word shingles) find the closest pairs first, which links most copies at little cost: pairs at 3 bits or fewer, by the
+segment popcounts and the grid, verified on whole sets. An exact similarity join finds every other pair.
 
 Words are those of `simhash`; a document is the set of its shingles of `width` words, as 64-bit hashes (a text of fewer words has one
 shingle, all texts without words have the same one). Documents with equal sets are one node from the start.
@@ -7,8 +11,8 @@ Two sets of similarity 4/5 or more have a shingle in common among the n - ceil(4
 it is the same for all (prefix filter). The order puts shingles that a small sample of the documents repeats last: it decides how many
 candidates there are, never which links are found. Candidates are compared by the size of their intersection.
 
-Stars first: in each prefix shingle's list of documents, every one is compared with one centre. Then the pairs of each list that are not
-in one component yet: those outside the component that holds most of the list, with each other and with it. So a group of copies, however
+The fingerprints' links first. Then stars: in each prefix shingle's list of documents with several components, every one is compared with
+one centre. Then the pairs of each list that are not in one component yet: those outside the component that holds most of the list, with each other and with it. So a group of copies, however
 large, takes no pairs of all with all; what its stars left out is compared with it.
 """
 
@@ -23,12 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import temporary, texts, without, written
+from . import simhash
 from .simhash import components
 
 WIDTH = 5
 #: Documents in the sample that the order is taken from, and how many repeated shingles of it are told apart.
 SAMPLE, TOLD_APART = 5000, 100_000
-STARS = 2
+STARS = 1
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -89,17 +94,25 @@ def order(docs: DataFrame, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     return common[at], times[at]
 
 
+def fingerprint(hashes: np.ndarray) -> int:
+    """The SimHash of a set of shingles: a bit is 1 if set in over half of their hashes."""
+    bits = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 65536):
+        bits += np.unpackbits(hashes[at : at + 65536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(bits * 2 > len(hashes), bitorder="little").view("<i8")[0])
+
+
 def prefixes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, node, n, prefix): of each document the digest and size of its set, and the shingles that candidates share."""
+    """(doc_id, node, fp, n, prefix): of each document the digest, the fingerprint and the size of its set, and the shingles that candidates share."""
     common, times = order(docs, width)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _parts(batch):
                 sets = [shingles(t.as_py(), width) for t in part.column("text")]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), _lists([prefix(s, common, times) for s in sets])], ["doc_id", "node", "n", "prefix"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([node_of(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), _lists([prefix(s, common, times) for s in sets])], ["doc_id", "node", "fp", "n", "prefix"])
 
-    return texts(docs).mapInArrow(task, "doc_id long, node long, n int, prefix array<long>")
+    return texts(docs).mapInArrow(task, "doc_id long, node long, fp long, n int, prefix array<long>")
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +156,12 @@ def _alike(docs: DataFrame, pairs: DataFrame, found: DataFrame, width: int) -> D
     """
     able = pairs.groupBy("a", "b").agg(F.count("*").alias("c"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"))
     rest = F.ceil(4 * F.greatest("n_a", "n_b") / 5) - 1
-    able = written(able.where(9 * (F.col("c") + rest) >= 4 * (F.col("n_a") + F.col("n_b"))).select("a", "b"), "similar-candidates")
+    return _verified(docs, able.where(9 * (F.col("c") + rest) >= 4 * (F.col("n_a") + F.col("n_b"))).select("a", "b"), found, width)
+
+
+def _verified(docs: DataFrame, able: DataFrame, found: DataFrame, width: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets have 4/5 of their union in common."""
+    able = written(able, "similar-candidates")
     # Written, so that few nodes and ids are known to be few and the texts stay where they are.
     nodes = written(able.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "similar-nodes")
     ids = written(found.select("node", "doc_id").join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id"), "similar-ids")
@@ -153,13 +171,28 @@ def _alike(docs: DataFrame, pairs: DataFrame, found: DataFrame, width: int) -> D
     return able.join(one, "a").join(two, "b").where(9 * common >= 4 * (F.size("ha") + F.size("hb"))).select("a", "b")
 
 
+def closest(docs: DataFrame, found: DataFrame, width: int = WIDTH) -> DataFrame:
+    """Pairs (a, b) of nodes of similarity 4/5 or more among those whose fingerprints link: the first node of a fingerprint stands for it, others of the same fingerprint are compared with it."""
+    nodes = written(found.select("node", "fp").distinct(), "similar-prints")
+    heads = written(nodes.groupBy("fp").agg(F.min("node").alias("head")), "similar-heads")
+    same = nodes.join(heads, "fp").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    one, two = heads.select(F.col("fp").alias("x"), F.col("head").alias("a")), heads.select(F.col("fp").alias("y"), F.col("head").alias("b"))
+    near = simhash.links(heads.select("fp")).select(F.col("a").alias("x"), F.col("b").alias("y")).join(one, "x").join(two, "y").select("a", "b")
+    return _verified(docs, same.unionByName(near), found, width)
+
+
 def links(docs: DataFrame, width: int = WIDTH, found: DataFrame | None = None) -> DataFrame:
     """Pairs (a, b) of nodes of similarity 4/5 or more that connect all such pairs."""
     found = written(prefixes(docs, width), "shingle-prefixes") if found is None else found
     rows = found.select("node", "n", F.explode("prefix").alias("shingle")).repartition("shingle").sortWithinPartitions("shingle", "node")
     lists = written(rows.mapInArrow(_shared, "shingle long, node long, n int"), "shingle-lists")
     nodes = written(lists.select("node").distinct(), "shingle-nodes")
-    edges, label = None, nodes.withColumn("root", F.col("node"))
+
+    def labelled(edges: DataFrame) -> DataFrame:
+        return written(nodes.join(components(edges), "node", "left").select("node", F.coalesce("root", "node").alias("root")), "similar-roots")
+
+    edges = written(closest(docs, found, width), "similar-pairs")
+    label = labelled(edges)
     for star in range(STARS + 1):
         held = lists.join(label, "node")
         open_lists = held.groupBy("shingle", "root").agg(F.count("*").alias("k")).groupBy("shingle").agg(F.count("*").alias("roots"), F.max(F.struct("k", "root")).alias("top")).where("roots > 1")
@@ -177,9 +210,9 @@ def links(docs: DataFrame, width: int = WIDTH, found: DataFrame | None = None) -
             pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"), F.when(F.col("a") < F.col("node"), F.col("n_a")).otherwise(F.col("n")).alias("n_a"), F.when(F.col("a") < F.col("node"), F.col("n")).otherwise(F.col("n_a")).alias("n_b"))
         pairs = pairs.where(5 * F.least("n_a", "n_b") >= 4 * F.greatest("n_a", "n_b"))
         new = written(_alike(docs, pairs, found, width), "similar-pairs")
-        edges = new if edges is None else edges.unionAll(new)
+        edges = edges.unionAll(new)
         if star < STARS:
-            label = written(nodes.join(components(edges), "node", "left").select("node", F.coalesce("root", "node").alias("root")), "similar-roots")
+            label = labelled(edges)
     return edges
 
 
