@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Slices of a column's value range that running sums go by.
+SLICES = 64
+
+
 def value_counts(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """(by, col, v, n), NULL values too, of all columns in one pass and one exchange."""
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).cast("double").alias("v")) for c in columns])).alias("p")
@@ -103,7 +107,13 @@ def fit(df: DataFrame, column: str) -> DataFrame:
 
 
 def ecdf(df: DataFrame, column: str) -> DataFrame:
-    """(v, ecdf) of distinct values: the share of rows at or below; counts are taken first, so the window sees distinct values only."""
-    n = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n"))
-    order = Window.orderBy("v")
-    return n.select("v", (F.sum("n").over(order) / F.sum("n").over(Window.partitionBy())).alias("ecdf"))
+    """(v, ecdf) of distinct values: the share of rows at or below. Counts are taken first; running sums are taken in two steps, within slices of the value range and over the slices, so no task has to see all values."""
+    rows = df.select(F.col(column).cast("double").alias("v")).where("v is not null")
+    cuts = sorted(set(rows.approxQuantile("v", [i / SLICES for i in range(1, SLICES)], 0.5 / SLICES)))
+    part = F.array_size(F.filter(F.lit(cuts).cast("array<double>"), lambda c: c < F.col("v"))) if cuts else F.lit(0)
+    n = rows.groupBy("v").agg(F.count("*").alias("n")).withColumn("part", part)
+    totals = n.groupBy("part").agg(F.sum("n").alias("own"))
+    # One row for each slice.
+    below = totals.select("part", (F.sum("own").over(Window.orderBy("part")) - F.col("own")).alias("below"), F.sum("own").over(Window.partitionBy()).alias("all"))
+    order = Window.partitionBy("part").orderBy("v")
+    return n.join(F.broadcast(below), "part").select("v", ((F.sum("n").over(order) + F.col("below")) / F.col("all")).alias("ecdf"))

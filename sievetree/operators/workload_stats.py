@@ -36,8 +36,10 @@ def adaptive_threshold(weight: Column, lower: float = 0.1, upper: float = 0.3, s
     return F.exp(weight * -steep) * scale + (upper - scale)
 
 
-def cut_edges(groups: DataFrame) -> DataFrame:
-    """Edges between distinct masks: shared columns times the queries of both. The masks are at most the patterns of a workload."""
+def cut_edges(groups: DataFrame, most: int = 10_000) -> DataFrame:
+    """Edges between distinct masks: shared columns times the queries of both. The masks are the patterns of a workload, each one row; over `most` of them raise, as a graph of them is too large to cut."""
+    if groups.count() > most:
+        raise ValueError(f"over {most} patterns of queries")
     a, b = groups.select(F.col("mask").alias("a"), F.col("n").alias("na")), groups.select(F.col("mask").alias("b"), F.col("n").alias("nb"))
     shared = F.bit_count(F.col("a").bitwiseAND(F.col("b")))
     return a.join(F.broadcast(b), F.col("a") < F.col("b")).select("a", "b", (shared * (F.col("na") + F.col("nb"))).cast("long").alias("w"))

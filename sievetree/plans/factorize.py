@@ -56,7 +56,9 @@ class Factorized:
         inside = (F.col("q.col") == F.col("c.col")) & (F.col("c.v") >= F.col("q.lo")) & (F.col("c.v") <= F.col("q.hi"))
         met = workload.alias("q").join(self.left.alias("c"), inside).groupBy("q.qid", "c.box", "c.cell").agg(F.count("*").alias("k"), F.first("c.n").alias("n"))
         some = met.join(asked, "qid").where("k = n_left").groupBy("qid", "box").agg(F.sum("n").alias("n"))
-        # A query that bounds no left column has every box whole; the boxes are few.
+        # A query that bounds no left column has every box whole; the boxes are of the model, and their number is checked.
+        if self.weights.count() > 10_000:
+            raise ValueError("over 10000 boxes")
         whole = asked.where("n_left = 0").select("qid", F.lit(1).alias("one")).join(F.broadcast(self.weights.withColumn("one", F.lit(1))), "one").select("qid", "box", "n")
         touched = (F.col("q.col") == F.col("b.col")) & (F.col("b.lo") <= F.col("q.hi")) & (F.col("b.hi") >= F.col("q.lo"))
         each = workload.alias("q").join(self.right.alias("b"), touched).groupBy("q.qid", "b.box", "q.col").agg(F.sum(F.col("b.pdf") * F.col("b.non_null")).alias("p"))
