@@ -56,8 +56,8 @@ def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def pair_buckets(hashes: np.ndarray) -> np.ndarray:
-    """The bucket of each word 2-gram, from the hashes of a row of words."""
-    mixed = hashes[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + hashes[1:]
+    """The bucket of each word 2-gram, from the hashes of a row of words. A 2-gram's hash is the difference of its words' hashes: another one for each pair of words, also the other way round, but one for all words that follow themselves, so that repetition is learned from some words and known of others."""
+    mixed = hashes[1:] - hashes[:-1]
     return _buckets(mixed ^ mixed >> np.uint64(31))
 
 

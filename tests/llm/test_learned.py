@@ -196,3 +196,16 @@ def test_scores_do_not_depend_on_how_rows_are_dealt(spark, monkeypatch):
     docs = spark.createDataFrame([(i, t) for i, t, _ in corpus(120)], "doc_id long, text string")
     scores = [{r.doc_id: r.score for r in lm_score.score(docs.repartition(k), learned=64).collect()} for k in (1, 7)]
     assert all(abs(scores[0][i] - scores[1][i]) < 1e-6 * abs(scores[0][i]) for i in scores[0])
+
+
+def test_repetition_is_known_of_words_never_seen():
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows = []
+    for _ in range(250):
+        rows.append((" ".join(word() for _ in range(40)), 1))
+        rows.append((" ".join([word() for _ in range(10)] + [word()] * 30), 0))
+    scorer = quality.Scorer(*quality.train([(*quality._bag(t), y) for t, y in rows[:300]]))
+    assert np.mean((scorer([t for t, _ in rows[300:]]) >= 0.5) == [y for _, y in rows[300:]]) > 0.97
+    pairs = quality.pair_buckets(np.array([5, 5, 9, 5, 9, 9], np.uint64))
+    assert pairs[0] == pairs[4] and pairs[1] != pairs[2]
