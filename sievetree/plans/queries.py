@@ -332,11 +332,17 @@ def model_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(sorted(model.statistics().items()), "what string, n int")
 
 
-@_add()
+@_add(
+    f"""{_DUCK}, {_MASK}, g AS (SELECT mask, n, row_number() OVER (ORDER BY mask) - 1 AS i FROM (SELECT mask, count(*) AS n FROM m GROUP BY mask) t),
+e AS (SELECT x.i AS a, y.i AS b, bit_count(x.mask & y.mask) * (x.n + y.n) AS w FROM g x JOIN g y ON x.i < y.i),
+c AS (SELECT bits, sum(CASE WHEN (bits >> a) & 1 <> (bits >> b) & 1 THEN w ELSE 0 END) / CAST(sum(w) AS DOUBLE) AS cut FROM (SELECT CAST(range AS BIGINT) AS bits FROM range(64)) k, e GROUP BY bits)
+SELECT 0 AS side, mask, (SELECT round(max(cut), 9) FROM c) AS cut FROM g WHERE (SELECT max(cut) FROM c) < 0.7"""
+)
 def query_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The greedy cut; SQL tries every cut. The best parts under 0.7 of the weight, so the queries stay together."""
     groups = [(r["mask"], r["n"]) for r in ws.mask_groups(range_workload(spark), COLUMNS).collect()]
     sides, cut = ws.split_queries(groups)
-    return spark.createDataFrame([(i, m, cut) for i, s in enumerate(sides) for m in s], "side int, mask long, cut double")
+    return spark.createDataFrame([(i, m, round(cut, 9)) for i, s in enumerate(sides) for m in s], "side int, mask long, cut double")
 
 
 @_add()
