@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_TRIES = 8
 FAMILIES = ("gaussian", "exponential", "uniform", "lognormal", "poisson", "geometric", "bernoulli", "gamma")
 
 
@@ -72,7 +73,7 @@ def mode(family: str) -> Column:
 
 
 def draw(family: str, seed: int = 0) -> Column:
-    """A draw for each row, by inverting the distribution; of the families whose inverse is an expression."""
+    """A draw for each row: by inverting the distribution where the inverse is an expression; a Poisson draw counts up to the random share, over at most mean + 12 deviations + 30; a gamma draw is the first of `_TRIES` cubed normal proposals that is accepted, each with a chance over 0.95."""
     p = lambda name: F.col(f"{family}_{name}")
     u = 1 - F.rand(seed)
     if family == "gaussian":
@@ -87,4 +88,29 @@ def draw(family: str, seed: int = 0) -> Column:
         return F.greatest(F.ceil(F.log(u) / F.log(1 - p("p"))), F.lit(1)).cast("double")
     if family == "bernoulli":
         return F.when(F.rand(seed) < p("p"), 1.0).otherwise(0.0)
+    if family == "poisson":
+        mean = p("mean")
+        top = F.ceil(mean + 12 * F.sqrt(mean) + 30).cast("int")
+        # The random share is part of the start, as one inside the steps would be drawn anew at each.
+        start = F.struct(u.alias("u"), F.exp(-mean).alias("term"), F.exp(-mean).alias("cdf"), F.lit(0).alias("k"))
+
+        def step(acc: Column, i: Column) -> Column:
+            term = acc["term"] * mean / i
+            return F.struct(acc["u"].alias("u"), term.alias("term"), (acc["cdf"] + term).alias("cdf"), F.when(acc["cdf"] < acc["u"], i).otherwise(acc["k"]).alias("k"))
+
+        return F.aggregate(F.sequence(F.lit(1), top), start, step)["k"].cast("double")
+    if family == "gamma":
+        # The squeeze needs a shape of at least 1; a smaller one is drawn one higher and scaled by a power of a uniform number.
+        shape = F.when(p("alpha") < 1, p("alpha") + 1).otherwise(p("alpha"))
+        d = shape - 1.0 / 3
+        c = 1 / F.sqrt(9 * d)
+        cubed = lambda x: F.pow(1 + c * x, F.lit(3.0))
+        tries = F.array(*[F.struct(F.randn(seed + 1000 + i).alias("x"), F.rand(seed + 2000 + i).alias("w")) for i in range(_TRIES)])
+
+        def accepted(t: Column) -> Column:
+            v = cubed(t["x"])
+            return (v > 0) & (F.log(1 - t["w"]) < t["x"] * t["x"] / 2 + d - d * v + d * F.log(F.greatest(v, F.lit(5e-324))))
+
+        drawn = d * cubed(F.coalesce(F.get(F.filter(tries, accepted), 0)["x"], F.lit(0.0)))
+        return F.when(p("alpha") < 1, drawn * F.pow(u, 1 / p("alpha"))).otherwise(drawn) / p("beta")
     raise ValueError(f"no draw for {family}")

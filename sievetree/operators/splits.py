@@ -172,6 +172,14 @@ def likeliest_binary(rows: np.ndarray, columns: Sequence[int]) -> int | None:
     return -max(tried)[1] if tried else None
 
 
+def random_binary(rows: np.ndarray, columns: Sequence[int], seed: int = 17) -> int | None:
+    """The first 0/1 column, in a random order, that varies; None if none does."""
+    for c in np.random.default_rng(seed).permutation(np.array(columns, int)).tolist():
+        if set(np.unique(rows[:, c]).tolist()) == {0.0, 1.0}:
+            return c
+    return None
+
+
 @lru_cache(maxsize=4)
 def _bridge(draws: int = 4000, steps: int = 400) -> np.ndarray:
     """Sorted suprema of squared Brownian bridges over t(1-t), t trimmed at both ends: the statistic's distribution where nothing changes."""

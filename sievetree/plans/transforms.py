@@ -303,6 +303,52 @@ def from_text(text: str) -> Model:
     return Model(whole["columns"], root, whole["rows"], bins, weights, bounds)
 
 
+def _joined(models: list[Model], columns: list[str], kind: str, weights: list[float] | None) -> Model:
+    """One root over the trees of several models, numbered anew."""
+    root = Node(kind, list(range(len(columns))), [], "data" if kind == "product" else "")
+    bins, own, bounds = {}, {}, {}
+    n = 1
+    for k, m in enumerate(models):
+        place = [columns.index(c) for c in m.columns]
+        tree = copy.deepcopy(m.root)
+        for node in list(tree.walk()):
+            old, node.number = node.number, n
+            n += 1
+            node.columns, node.given = [place[c] for c in node.columns], [place[c] for c in node.given]
+            for new, its in ((bins, m.bins), (own, m.weights), (bounds, m.bounds)):
+                if old in its:
+                    new[node.number] = copy.deepcopy(its[old])
+        root.children.append(tree)
+        if weights is not None:
+            own[tree.number] = weights[k]
+            box: dict[str, list[float]] = {}
+            for leaf in tree.walk():
+                if leaf.kind == "leaf" and leaf.number in bins:
+                    b, c = bins[leaf.number], columns[leaf.columns[0]]
+                    lo, hi = min(b["lo"]), max(b["hi"])
+                    box[c] = [min(lo, box[c][0]), max(hi, box[c][1])] if c in box else [lo, hi]
+            bounds[tree.number] = box
+    root.number = 0
+    grid = {c: g for m in models for c, g in m.grid.items()}
+    return Model(columns, root, models[0].rows, bins, own, bounds, grid)
+
+
+def times(*models: Model) -> Model:
+    """The product of models of different columns."""
+    columns = [c for m in models for c in m.columns]
+    if len(set(columns)) < len(columns):
+        raise ValueError("the models share columns")
+    return _joined(list(models), columns, "product", None)
+
+
+def mixed(parts: list[tuple[float, Model]]) -> Model:
+    """The weighted sum of models of the same columns; weights are taken as shares. It answers queries; rows are not routed to its parts, as those have no centres."""
+    columns = parts[0][1].columns
+    if any(sorted(m.columns) != sorted(columns) for _, m in parts):
+        raise ValueError("the models have different columns")
+    return _joined([m for _, m in parts], list(columns), "sum", [w for w, _ in parts])
+
+
 def formula(model: Model) -> str:
     """The density as an expression: sums of weighted terms, products, and f<number>(column) for leaves."""
 

@@ -315,6 +315,14 @@ class Model:
         check(root)
         return cls.from_counts(columns, root, total, count(df, columns, root, grid), grid)
 
+    @classmethod
+    def fit_binary(cls, df: DataFrame, columns: Sequence[str], params: Params | None = None) -> Model:
+        """A tree of columns of 0 and 1, without a workload; other values raise, NULLs do not count."""
+        odd = df.select(*[F.count_if(~F.col(c).cast("double").isin(0.0, 1.0)).alias(c) for c in columns]).first()
+        if wrong := [c for c in columns if odd[c]]:
+            raise ValueError(f"not binary: {wrong}")
+        return cls.fit(df, columns, np.zeros((0, len(columns), 2)), params)
+
     @classmethod
     def from_counts(cls, columns: Sequence[str], root: Node, total: int, counts: DataFrame, grid: dict[str, Grid] | None = None) -> Model:
         """What comes to the driver is bounded by the tree's leaves times their bins: a column has a grid, or at most about max_bins values."""
