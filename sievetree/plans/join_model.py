@@ -125,6 +125,12 @@ def eliminate(tables: Sequence[DataFrame], share: float = 1.0) -> DataFrame:
     return out.select("bucket", (F.pow("even", F.lit(1.0 - share)) * F.pow("bound", F.lit(share))).alias("estimate"))
 
 
+def whole_table_estimate(parts: Sequence[tuple[DataFrame, float]], share: float = 1.0) -> DataFrame:
+    """One row, `estimate`: an equi-join of tables on one key from each one's bucket list and the selectivity that its own model gives its filter."""
+    scaled = [bucket_scale(stats, F.lit(float(p))) for stats, p in parts]
+    return eliminate(scaled, share).agg(F.coalesce(F.sum("estimate"), F.lit(0.0)).alias("estimate"))
+
+
 def bucket_stats_by(df: DataFrame, keys: dict[str, tuple[str, float, float]], buckets: int) -> DataFrame:
     """(the buckets, n, mcv_n, ndv) of a table by one or more keys; keys: bucket column -> (key, low, high). mcv_n: rows of the commonest combination of keys."""
     places = [F.floor((F.col(k) - low) / (high - low + 1) * buckets).cast("long").alias(b) for b, (k, low, high) in keys.items()]

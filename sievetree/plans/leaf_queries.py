@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import context, densities, leaves
 from ..functions import more_leaves as ml
 from . import join_model as jm
-from .queries import _BINS, _DUCK, COLUMNS, _add, _bins, _table, range_workload
+from .queries import _BINS, _BUCKETS, _DUCK, COLUMNS, _add, _bins, _buckets, _table, range_workload
 from .structure_queries import _PIECES, _rounded
 
 _CONTEXT = {"l_quantity": "l_quantity", "l_extendedprice": "l_extendedprice", "l_linenumber": "l_linenumber", "is_open": "CAST(l_linestatus = 'O' AS INT)", "some_tax": "nullif(l_tax, 0)"}
@@ -186,3 +186,16 @@ def eliminated_key_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = _table(spark, sf_dir, "part").where(F.col("p_partkey").between(ends.c, ends.d))
     lists = [one(li, {"bucket_o": ("l_orderkey", ends.a, ends.b), "bucket_p": ("l_partkey", ends.c, ends.d)}), one(orders, {"bucket_o": ("o_orderkey", ends.a, ends.b)}), one(part, {"bucket_p": ("p_partkey", ends.c, ends.d)})]
     return _rounded(jm.eliminate_by(lists).select("bucket_o", "bucket_p", F.col("bound").alias("estimate")), 6, "estimate")
+
+
+@_add(
+    f"""WITH {_BINS}, p AS (SELECT product(p) AS p FROM (SELECT col, sum(pdf) AS p FROM b WHERE (col = 'l_quantity' AND v BETWEEN 3 AND 10) OR (col = 'l_tax' AND v <= 0.045) GROUP BY col) t),
+x AS ({_BUCKETS.format(k="l_orderkey", t="lineitem")}), y AS ({_BUCKETS.format(k="o_orderkey", t="orders")})
+SELECT round(sum(x.mcv_n * p.p * y.mcv_n * least(x.n / CAST(x.mcv_n AS DOUBLE), y.n / CAST(y.mcv_n AS DOUBLE))), 4) AS estimate FROM x JOIN y ON x.bucket = y.bucket, p"""
+)
+def whole_table_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem, filtered, with orders: the filter's selectivity from leaves of the whole table, the join from bucket lists."""
+    asked = spark.createDataFrame([(0, "l_quantity", 3.0, 10.0), (0, "l_tax", 0.0, 0.045)], "qid long, col string, lo double, hi double")
+    p = leaves.product(leaves.range_probability(_bins(spark, sf_dir), asked)).first().p
+    parts = [(_buckets(spark, sf_dir, "lineitem", "l_orderkey"), p), (_buckets(spark, sf_dir, "orders", "o_orderkey"), 1.0)]
+    return _rounded(jm.whole_table_estimate(parts), 4, "estimate")
