@@ -1,11 +1,18 @@
 import os
+import re
+import zlib
 
+import numpy as np
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from sievetree.llm import queries
+from sievetree.llm import quality, queries, secret_scan
 from sievetree.llm.common import load
 
+from . import test_similar
+
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
@@ -26,3 +33,52 @@ def test_stages_and_run(spark):
 
 def test_one_query_an_operator():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+
+
+def test_each_stage_on_its_own_input(spark):
+    """Every stage of the pipeline against a plain version of it, on what its predecessor kept."""
+    docs = load(spark, SF)
+    rows = lambda df: sorted((tuple(r) for r in df.collect()), key=repr)
+    stages = dict(corpus_pipeline.STAGES)
+
+    good = {r.doc_id for r in quality.score(docs, load(spark, SF, "labels")).collect() if r.score >= 0.5}
+    kept = stages["quality classifier"](spark, docs, SF)
+    assert rows(kept) == [r for r in rows(docs) if r[docs.columns.index("doc_id")] in good]
+
+    before = {r.doc_id: r for r in kept.collect()}
+    groups = {}
+    for i, r in before.items():
+        groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", r.text or ""), []).append((-len(r.text or ""), i))
+    kept = stages["exact dedup"](spark, kept, SF)
+    assert rows(kept) == sorted((tuple(before[min(g)[1]]) for g in groups.values()), key=repr)
+
+    before = {r.doc_id: r for r in kept.collect()}
+    low, _ = test_similar.brute([(i, r.text) for i, r in before.items()])
+    kept = stages["simhash near-dedup"](spark, kept, SF)
+    assert rows(kept) == sorted((tuple(r) for i, r in before.items() if low[i] == i), key=repr)
+    assert len(before) > len(set(low.values()))
+
+    before = {r.doc_id: r for r in kept.collect()}
+    kept = stages["secret scan"](spark, kept, SF)
+    changed = 0
+    for r in kept.collect():
+        text, at, out = before[r.doc_id].text, 0, ""
+        spans = [(m.start(), m.end()) for rule in secret_scan.RULES for m in re.finditer(rule.pattern, text or "", re.IGNORECASE | re.ASCII if rule.ignore_case else 0) if len(m[rule.group]) >= rule.least]
+        for a, z in sorted(spans):
+            if a >= at:
+                out += text[at:a] + "[SECRET]"
+            at = max(at, z)
+        want = text if not spans else out + text[at:]
+        if "PRIVATE KEY" not in (text or ""):
+            assert r.text == want and r.n_chars == (len(want) if spans else before[r.doc_id].n_chars)
+        changed += bool(spans)
+    assert changed and kept.count() == len(before)
+
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = {}
+    for r in stages["packing"](spark, kept, SF).collect():
+        pieces.setdefault(r.doc_id, []).append((r.start, bytes(r.ids), r.ids_crc32))
+    for r in kept.collect():
+        ids = b"".join(x for _, x, _ in sorted(pieces[r.doc_id]))
+        assert ids == np.array([*whole.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4").tobytes()
+        assert all(zlib.crc32(x) == c for _, x, c in pieces[r.doc_id])
