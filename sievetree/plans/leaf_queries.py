@@ -156,11 +156,11 @@ def feature_gradients(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_add(
     """WITH c AS (SELECT CAST(l_quantity AS DOUBLE) AS v, count(*)::DOUBLE AS n FROM lineitem GROUP BY 1), i AS (SELECT a.v AS lo, b.v AS hi FROM c a JOIN c b ON a.v <= b.v)
-SELECT lo, hi, CAST(sum(n) AS BIGINT) AS n, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 7) AS entropy FROM i JOIN c ON c.v BETWEEN lo AND hi GROUP BY lo, hi"""
+SELECT lo, hi, CAST(sum(n) AS BIGINT) AS n, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 7) + 0.0 AS entropy FROM i JOIN c ON c.v BETWEEN lo AND hi GROUP BY lo, hi"""
 )
 def interval_entropies(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_quantity").cast("double").alias("v")).agg(F.count("*").alias("n"))
-    return _rounded(ml.interval_entropies(counts), 7, "entropy")
+    return ml.interval_entropies(counts).withColumn("entropy", F.round("entropy", 7) + F.lit(0.0))  # no negative zero
 
 
 @_add("SELECT l_linenumber, round(greatest(1.0, 48.37 - 4.359 * ln(CAST(count(*) AS DOUBLE))), 9) AS dominance FROM lineitem GROUP BY l_linenumber")
