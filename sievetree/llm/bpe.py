@@ -31,7 +31,7 @@ BLANK, SPACE, LETTER, NUMBER, OTHER, QUOTE, ONE, R, V, E, LL, RESET = range(12)
 #: States: the automaton has just read ...
 START, AT_BLANK, IN_LETTERS, IN_NUMBERS, IN_OTHER, AT_QUOTE, SHORT, AT_R, AT_V, AT_L = range(10)
 _LETTERS = (LETTER, ONE, R, V, E, LL)
-_CACHE_ENTRIES, _CACHE_PIECE = 400_000, 48
+_CACHE_ENTRIES, _CACHE_PIECE = 200_000, 48
 
 
 @lru_cache(1)

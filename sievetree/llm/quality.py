@@ -27,7 +27,7 @@ from .common import crc32_of_id, load, texts
 
 BUCKETS, DIMENSIONS, GRAMS, EPOCHS, RATE, SEED = 1 << 17, 12, (3, 4, 5), 6, 1.0, 7
 MAX_TRAIN, LEAST_STEPS = 4000, 20_000
-_PRIME, _CACHE = np.uint64(0x100000001B3), 400_000
+_PRIME, _CACHE, _CHUNK = np.uint64(0x100000001B3), 150_000, 10_000
 
 
 def _buckets(hashes: np.ndarray) -> np.ndarray:
@@ -69,9 +69,12 @@ def _bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     counts = np.zeros(BUCKETS, np.int64)
     own: dict[bytes, int] = {}
     at = np.fromiter((own.setdefault(w, len(own)) for w in words), np.int64, len(words))
-    owner, bucket, whole = word_features(list(own))
-    np.add.at(counts, bucket, np.bincount(at, minlength=len(own))[owner])
-    np.add.at(counts, pair_buckets(whole[at]), 1)
+    times, distinct, hashes = np.bincount(at, minlength=len(own)), list(own), []
+    for i in range(0, len(distinct), _CHUNK):
+        owner, bucket, whole = word_features(distinct[i : i + _CHUNK])
+        np.add.at(counts, bucket, times[i : i + _CHUNK][owner])
+        hashes.append(whole)
+    np.add.at(counts, pair_buckets(np.concatenate(hashes)[at]), 1)
     bucket = np.flatnonzero(counts)
     return bucket.astype(np.int32), (counts[bucket] / counts.sum()).astype(np.float32)
 
@@ -121,11 +124,15 @@ class Scorer:
             self.place, self.sums, self.counts, self.hashes = {}, np.zeros(0), np.zeros(0), np.zeros(0, np.uint64)
             new = list(set(flat))
         if new:
-            owner, bucket, whole = word_features(new)
             self.place.update(zip(new, range(len(self.sums), len(self.sums) + len(new)), strict=True))
-            self.sums = np.r_[self.sums, np.bincount(owner, self.margins[bucket], len(new))]
-            self.counts = np.r_[self.counts, np.bincount(owner, minlength=len(new))]
-            self.hashes = np.r_[self.hashes, whole]
+            sums, counts, hashes = [self.sums], [self.counts], [self.hashes]
+            for i in range(0, len(new), _CHUNK):  # a feature takes many times the room of its letters while it is hashed
+                some = new[i : i + _CHUNK]
+                owner, bucket, whole = word_features(some)
+                sums.append(np.bincount(owner, self.margins[bucket], len(some)))
+                counts.append(np.bincount(owner, minlength=len(some)))
+                hashes.append(whole)
+            self.sums, self.counts, self.hashes = np.concatenate(sums), np.concatenate(counts), np.concatenate(hashes)
         at = np.fromiter(map(self.place.__getitem__, flat), np.int64, len(flat))
         owner = np.repeat(np.arange(len(words)), lengths)
         inside = owner[1:] == owner[:-1]
@@ -166,7 +173,7 @@ def _scorer(batches: Iterator[pa.RecordBatch], margins: bytes, bias: float):
         all_texts = [t or "" for t in batch.column("text").to_pylist()]
         out, run, size = [], [], 0
         for t in [*all_texts, None]:
-            if run and (t is None or size > 2_000_000):
+            if run and (t is None or size > 1_000_000):
                 out.append(scorer(run))
                 run, size = [], 0
             if t is not None:
