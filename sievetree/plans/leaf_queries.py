@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import context, densities, leaves
 from ..functions import more_leaves as ml
 from . import join_model as jm
-from .queries import _BINS, _BUCKETS, _DUCK, COLUMNS, _add, _bins, _buckets, _table, range_workload
+from .queries import _BINS, _BUCKETS, _DUCK, _add, _bins, _buckets, _table, range_workload
 from .structure_queries import _PIECES, _rounded
 
 _CONTEXT = {"l_quantity": "l_quantity", "l_extendedprice": "l_extendedprice", "l_linenumber": "l_linenumber", "is_open": "CAST(l_linestatus = 'O' AS INT)", "some_tax": "nullif(l_tax, 0)"}
