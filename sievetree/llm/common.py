@@ -73,10 +73,19 @@ def remove(spark: SparkSession, path: str) -> None:
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+#: Rows up to which one side of a join is sent to every task.
+FEW = 20_000
+
+
+def side(df: DataFrame, rows: int) -> DataFrame:
+    """df, narrow rows, as a side of a join that is sent to every task where `rows`, which bounds its rows, is at most FEW, and sorted and merged otherwise. Spark's own choice goes by the bytes of the files a side is made from: it knows nothing of what `explode` makes of them, and may collect millions of rows at the driver."""
+    return F.broadcast(df) if rows <= FEW else df.hint("merge")
+
+
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of docs, all columns, whose doc_id is not in ids (one column doc_id); rows without an id stay. Whatever docs' columns are called, they never meet the other side's."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"))
-    return rows.join(ids.select("doc_id").distinct(), F.col("id") == F.col("doc_id"), "left_anti").select("row.*")
+    return rows.join(side(ids.select("doc_id").distinct(), ids.count()), F.col("id") == F.col("doc_id"), "left_anti").select("row.*")
 
 
 def crc32_of_id(doc_id: Column) -> Column:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remove, scratch, temporary, texts, written
+from .common import remove, scratch, side, temporary, texts, written
 
 WIDTH, RADIUS, BLOCK = 3, 3, 8192
 _EVEN = 0x5555555555555555
@@ -158,7 +158,8 @@ def links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
     layer = F.explode(F.array(*[F.struct(F.lit(k).alias("layer"), packed.bitwiseAND(F.lit(_signed(m))).alias("coord")) for k, m in _layers()])).alias("x")
     cells = distinct.select("fp", layer).select("fp", F.xxhash64("x.layer", "x.coord").alias("cell"))
     sizes = cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
-    placed = cells.join(sizes, "cell").withColumn("k", F.ceil(F.col("n") / F.lit(block)).cast("int")).withColumn("own", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("k")).cast("int"))
+    # Half of the rows of cells may be cells of several.
+    placed = cells.join(side(sizes, distinct.count() * len(_layers()) // 2), "cell").withColumn("k", F.ceil(F.col("n") / F.lit(block)).cast("int")).withColumn("own", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("k")).cast("int"))
     # In a cell of k blocks, a row goes to the tasks (own, j) for each j; k is 1 but for hot cells. At most one pair of blocks is gathered.
     tasks = placed.select("fp", "cell", "own", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
     tasks = tasks.select("fp", F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other")).alias("task"))
@@ -172,12 +173,13 @@ def components(edges: DataFrame) -> DataFrame:
     path = scratch(spark, "stars")
     now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), "stars", path)
     state = None
+    most = 2 * now.count()  # nodes with an edge; no round has more
     while True:
         both = now.union(now.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+        large = both.join(side(low, most), "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        small = large.join(side(low, most), "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         new_path = scratch(spark, "stars")
         now = written(small, "stars", new_path)
         new_state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
@@ -195,10 +197,11 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, block: int = BLOCK) ->
     with temporary(docs.sparkSession):
         distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
         roots = components(links(distinct.select("fp"), block))
-        member = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+        n = distinct.count()
+        member = distinct.join(side(roots, n), distinct.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
         lowest = member.groupBy("root").agg(F.min("low").alias("component_id"))
-        classes = written(member.join(lowest, "root").select("fp", "component_id"), "classes", kept=True)
-    return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+        classes = written(member.join(side(lowest, n), "root").select("fp", "component_id"), "classes", kept=True)
+    return prints.join(side(classes, n), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def dedup(docs: DataFrame, width: int | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ import pytest
 import xxhash
 
 from sievetree.llm import simhash
+from sievetree.llm.common import written
 
 from .conftest import AWKWARD
 
@@ -88,3 +89,12 @@ def test_chains_and_dense_groups(spark, block):
                 a, b = find(simhash._signed(p)), find(simhash._signed(q))
                 label[max(a, b)] = min(a, b)
     assert all(roots.get(x, x) == find(x) for x in label)
+
+
+def test_no_large_table_goes_to_the_driver(spark):
+    """The join with the cells' sizes has 35 rows a fingerprint, whatever the size of the file that they come from."""
+    rng = random.Random(5)
+    frame = spark.createDataFrame([(simhash._signed(rng.getrandbits(64)),) for _ in range(3000)], "fp long")
+    edges = simhash.links(written(frame, "prints"))
+    edges.collect()
+    assert "BroadcastExchange" not in edges._jdf.queryExecution().executedPlan().toString()
