@@ -57,6 +57,18 @@ def temporary(spark: SparkSession) -> Iterator[None]:
             remove(spark, path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, most: str = "4m") -> Iterator[None]:
+    """What runs inside passes batches of at most so many bytes to Python and back; by default they may have 64 MB each, and grow by doubling, in every task and its worker. The session's own setting comes back at the end."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, most)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def written(df: DataFrame, label: str, path: str | None = None, kept: bool = False) -> DataFrame:
     """df as Parquet in the shared folder, read again: lineage ends there, and a lost executor costs nothing that is behind it. Tables at a path of the caller's are the caller's to remove."""
     owner = len(_steps) - 1 - kept

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import temporary, texts, without, written
+from .common import side, small_batches, temporary, texts, without, written
 from . import simhash
 from .simhash import components
 
@@ -136,8 +136,8 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in last], ["shingle", "node", "n"])
 
 
-def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(node, hashes) of the documents named."""
+def _sets(docs: DataFrame, ids: DataFrame, most: int, width: int) -> DataFrame:
+    """(node, hashes) of the documents named, at most `most`."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,7 +145,7 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
                 values = [shingles(t.as_py(), width) for t in part.column("text")]
                 yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in values], pa.int64()), _lists(values)], ["node", "hashes"])
 
-    return texts(docs).join(ids, "doc_id", "left_semi").mapInArrow(task, "node long, hashes array<long>").dropDuplicates(["node"])
+    return texts(docs).join(side(ids, most), "doc_id", "left_semi").mapInArrow(task, "node long, hashes array<long>").dropDuplicates(["node"])
 
 
 def _alike(docs: DataFrame, pairs: DataFrame, found: DataFrame, width: int) -> DataFrame:
@@ -164,20 +164,22 @@ def _verified(docs: DataFrame, able: DataFrame, found: DataFrame, width: int) ->
     able = written(able, "similar-candidates")
     # Written, so that few nodes and ids are known to be few and the texts stay where they are.
     nodes = written(able.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "similar-nodes")
-    ids = written(found.select("node", "doc_id").join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id"), "similar-ids")
-    sets = written(_sets(docs, ids, width), "similar-sets")
+    n = nodes.count()
+    ids = written(found.select("node", "doc_id").join(side(nodes, n), "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id"), "similar-ids")
+    sets = written(_sets(docs, ids, n, width), "similar-sets")
     one, two = sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb"))
     common = F.size(F.array_intersect("ha", "hb"))
-    return able.join(one, "a").join(two, "b").where(9 * common >= 4 * (F.size("ha") + F.size("hb"))).select("a", "b")
+    return able.join(one.hint("merge"), "a").join(two.hint("merge"), "b").where(9 * common >= 4 * (F.size("ha") + F.size("hb"))).select("a", "b")
 
 
 def closest(docs: DataFrame, found: DataFrame, width: int = WIDTH) -> DataFrame:
     """Pairs (a, b) of nodes of similarity 4/5 or more among those whose fingerprints link: the first node of a fingerprint stands for it, others of the same fingerprint are compared with it."""
     nodes = written(found.select("node", "fp").distinct(), "similar-prints")
     heads = written(nodes.groupBy("fp").agg(F.min("node").alias("head")), "similar-heads")
-    same = nodes.join(heads, "fp").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    n = heads.count()
+    same = nodes.join(side(heads, n), "fp").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
     one, two = heads.select(F.col("fp").alias("x"), F.col("head").alias("a")), heads.select(F.col("fp").alias("y"), F.col("head").alias("b"))
-    near = simhash.links(heads.select("fp")).select(F.col("a").alias("x"), F.col("b").alias("y")).join(one, "x").join(two, "y").select("a", "b")
+    near = simhash.links(heads.select("fp")).select(F.col("a").alias("x"), F.col("b").alias("y")).join(side(one, n), "x").join(side(two, n), "y").select("a", "b")
     return _verified(docs, same.unionByName(near), found, width)
 
 
@@ -187,26 +189,27 @@ def links(docs: DataFrame, width: int = WIDTH, found: DataFrame | None = None) -
     rows = found.select("node", "n", F.explode("prefix").alias("shingle")).repartition("shingle").sortWithinPartitions("shingle", "node")
     lists = written(rows.mapInArrow(_shared, "shingle long, node long, n int"), "shingle-lists")
     nodes = written(lists.select("node").distinct(), "shingle-nodes")
+    n, most = nodes.count(), lists.count() // 2  # a list has two nodes or more
 
     def labelled(edges: DataFrame) -> DataFrame:
-        return written(nodes.join(components(edges), "node", "left").select("node", F.coalesce("root", "node").alias("root")), "similar-roots")
+        return written(nodes.join(side(components(edges), n), "node", "left").select("node", F.coalesce("root", "node").alias("root")), "similar-roots")
 
     edges = written(closest(docs, found, width), "similar-pairs")
     label = labelled(edges)
     for star in range(STARS + 1):
-        held = lists.join(label, "node")
+        held = lists.join(side(label, n), "node")
         open_lists = held.groupBy("shingle", "root").agg(F.count("*").alias("k")).groupBy("shingle").agg(F.count("*").alias("roots"), F.max(F.struct("k", "root")).alias("top")).where("roots > 1")
-        held = held.join(open_lists.select("shingle", F.col("top.root").alias("most")), "shingle")
+        held = held.join(side(open_lists.select("shingle", F.col("top.root").alias("most")), most), "shingle")
         if star < STARS:
             # A centre is the node of a list that comes first in an order of this round. Pairs are counted in the lists it is the centre of
             # only, so some are passed over here; the last round has them.
             centre = held.groupBy("shingle").agg(F.min_by(F.struct("node", "n", "root"), F.xxhash64("node", F.lit(star))).alias("c"))
-            pairs = held.join(centre, "shingle").where(F.col("root") != F.col("c.root")).select(F.col("node").alias("a"), F.col("c.node").alias("b"), F.col("n").alias("n_a"), F.col("c.n").alias("n_b"))
+            pairs = held.join(side(centre, most), "shingle").where(F.col("root") != F.col("c.root")).select(F.col("node").alias("a"), F.col("c.node").alias("b"), F.col("n").alias("n_a"), F.col("c.n").alias("n_b"))
         else:
             held = written(held, "open-lists")
             few = held.where(F.col("root") != F.col("most")).select("shingle", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("own"))
             once = (F.col("root") == F.col("most")) | (F.col("a") < F.col("node"))
-            pairs = few.join(held, "shingle").where((F.col("own") != F.col("root")) & once)
+            pairs = held.join(side(few, few.count()), "shingle").where((F.col("own") != F.col("root")) & once)
             pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"), F.when(F.col("a") < F.col("node"), F.col("n_a")).otherwise(F.col("n")).alias("n_a"), F.when(F.col("a") < F.col("node"), F.col("n")).otherwise(F.col("n_a")).alias("n_b"))
         pairs = pairs.where(5 * F.least("n_a", "n_b") >= 4 * F.greatest("n_a", "n_b"))
         new = written(_alike(docs, pairs, found, width), "similar-pairs")
@@ -221,13 +224,14 @@ def copies(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     docs = docs.where(F.col("doc_id").cast("long").isNotNull())
     found = written(prefixes(docs, width), "shingle-prefixes")
     roots = components(links(docs, width, found))
-    member = found.select("doc_id", "node").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
+    n = found.count()
+    member = found.select("doc_id", "node").join(side(roots, n), "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
     lowest = member.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return member.join(lowest, "root").select("doc_id", "component_id")
+    return member.join(side(lowest, n), "root").select("doc_id", "component_id")
 
 
 def dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """The rows of docs that stay: of each component, the document with the smallest id; rows without an id stay."""
-    with temporary(docs.sparkSession):
+    with temporary(docs.sparkSession), small_batches(docs.sparkSession):
         drop = written(copies(docs, width).where("doc_id <> component_id").select("doc_id"), "similar-dropped", kept=True)
     return without(docs, drop)
