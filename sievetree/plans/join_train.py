@@ -7,8 +7,9 @@ has its rows, its distinct keys, and a model of the columns that queries filter:
 counted over all its rows (`learned`), leaves taken as independent (`independent`), or the sample itself (`sampled`).
 
 `fit` makes four passes over a table whatever the number of cells: key ranges, cell statistics, samples (a bounded number of rows a cell
-leaves each task), and counts (added up in each task before the exchange); no cell's rows come together anywhere. The number of
-cells is bounded by `max_cells`, so a model fits the driver, as its files show; estimates are arithmetic on it.
+leaves each task), and counts (added up in each task before the exchange); no cell's rows come together anywhere. A table of at most
+`max_cells` cells is held by the driver, as its files show, and estimates are arithmetic on it. One of more cells stays a table (`CellTable`),
+a row for each cell with its model; estimates of a model that has one are the same arithmetic as joins and sums of cells.
 
 Estimate of an acyclic equi-join, cells of the last table at the root: a cell keeps n*p rows and ndv*(1-(1-p)^(n/ndv)) keys; each child
 multiplies it by its rows a key, and once, by the smallest share of its keys that a child has, if below 1; on special keys
@@ -24,9 +25,11 @@ from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import leaves
 from ..operators import dependence as dep
 from . import join_model as jm
 from .tree import TALLIES, Grid, Model, Node, Params, added_up, grids, learn, tallies, tally_batch
@@ -142,10 +145,7 @@ class Cells:
 
     def selectivity(self, box: dict[str, tuple[float, float]], some: np.ndarray) -> np.ndarray:
         """Of the cells numbered in some: the model's probability, at most 1; 1 without a filter, 0 for an empty range."""
-        lo, hi = np.full(len(self.columns), -np.inf), np.full(len(self.columns), np.inf)
-        for c, (a, z) in box.items():
-            i = self.columns.index(c)
-            lo[i], hi[i] = max(lo[i], a), min(hi[i], z)
+        lo, hi = _box(self.columns, box)
         if (lo > hi).any():
             return np.zeros(len(some))
         if not np.isfinite(np.r_[lo, hi]).any():
@@ -153,6 +153,76 @@ class Cells:
         return np.array([min(1.0, self.models[i].probability(lo, hi)) for i in some.tolist()])
 
 
+def _box(columns: list[str], box: dict[str, tuple[float, float]]) -> tuple[np.ndarray, np.ndarray]:
+    lo, hi = np.full(len(columns), -np.inf), np.full(len(columns), np.inf)
+    for c, (a, z) in box.items():
+        i = columns.index(c)
+        lo[i], hi[i] = max(lo[i], a), min(hi[i], z)
+    return lo, hi
+
+
+@dataclass
+class CellTable:
+    """One table of more cells than the driver holds: frame has bin_<key>, n, ndv_<key> and the model of each cell: `root` with what was counted for it (`points`: smoothed bins; `places`: bins of grids; `extent`: weights and bounds), or its `rows`, a sample."""
+
+    keys: list[str]
+    columns: list[str]
+    grid: dict[str, Grid]
+    frame: DataFrame
+
+    def filtered(self, box: dict[str, tuple[float, float]]) -> DataFrame:
+        """(bin_<key>, n, ndv_<key>, p): p as `Cells.selectivity` has it."""
+        names = [*[f"bin_{k}" for k in self.keys], "n", *[f"ndv_{k}" for k in self.keys]]
+        lo, hi = _box(self.columns, box)
+        if (lo > hi).any() or not np.isfinite(np.r_[lo, hi]).any():
+            return self.frame.select(*names, F.lit(0.0 if (lo > hi).any() else 1.0).alias("p"))
+        columns, grid = self.columns, self.grid
+
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                p = [min(1.0, _cell_model(columns, grid, *row).probability(lo, hi)) for row in zip(*[batch.column(c).to_pylist() for c in _MODEL], strict=True)]
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(p, pa.float64())], [*names, "p"])
+
+        kinds = {f.name: f.dataType.simpleString() for f in self.frame.schema}
+        return self.frame.select(*names, *_MODEL).mapInArrow(task, ", ".join(f"{c} {kinds[c]}" for c in names) + ", p double")
+
+
+#: Columns of a cell's model in a CellTable.
+_MODEL = {
+    "root": "string",
+    "points": "array<struct<node:int,lo:double,hi:double,pdf:double,non_null:double>>",
+    "places": "array<struct<node:int,col:string,v:double,n:bigint>>",
+    "extent": "array<struct<node:int,col:string,v:double,n:bigint>>",
+    "rows": "array<array<double>>",
+}
+
+
+def _cell_model(columns: list[str], grid: dict[str, Grid], root: str | None, points, places, extent, rows):
+    """The model of a cell; numbers as `Model.from_counts` has them."""
+    if root is None:
+        return Sampled(np.array([[np.nan if x is None else x for x in r] for r in rows or []], float).reshape(-1, len(columns)))
+    bins: dict[int, dict] = {}
+    for x in sorted(points or [], key=lambda x: (x["node"], x["lo"])):
+        b = bins.setdefault(x["node"], {"lo": [], "hi": [], "pdf": [], "non_null": x["non_null"]})
+        for c in ("lo", "hi", "pdf"):
+            b[c].append(x[c])
+    leaf: dict[tuple, list] = {}
+    for x in places or []:
+        leaf.setdefault((x["node"], x["col"]), []).append((x["v"], x["n"]))
+    for (node, col), some in leaf.items():
+        known = sorted((*grid[col].bin(int(v)), n) for v, n in some if v is not None)
+        whole = sum(n for *_, n in known)
+        if known:
+            bins[node] = {"lo": [a for a, *_ in known], "hi": [z for _, z, _ in known], "pdf": [n / whole for *_, n in known], "non_null": whole / sum(n for _, n in some), "grain": grid[col].grain}
+    weights, bounds = {}, {}
+    for x in extent or []:
+        if x["col"] == "":
+            weights[x["node"]] = x["n"]
+        else:
+            bounds.setdefault(x["node"], {}).setdefault(x["col"][1:], [0.0, 0.0])[x["col"][0] == ">"] = x["v"]
+    return Model(columns, _node_of(json.loads(root)), 0, bins, weights, bounds, grid)
+
+
 def _node_text(node: Node) -> dict:
     return asdict(node)
 
@@ -169,7 +239,7 @@ def _stars(columns: int) -> Node:
 
 
 class JoinModel:
-    def __init__(self, tables: dict[str, Cells], classes: dict[tuple[str, str], int], ranges: dict[int, tuple[float, float]], width: float):
+    def __init__(self, tables: dict[str, Cells | CellTable], classes: dict[tuple[str, str], int], ranges: dict[int, tuple[float, float]], width: float):
         self.tables, self.classes, self.ranges, self.width = tables, classes, ranges, width
 
     # Training
@@ -200,13 +270,13 @@ class JoinModel:
         return cls(out, classes, {c: (a, z) for c, (a, z) in ranges.items()}, setting.width)
 
     @staticmethod
-    def _cells(df, keys, classes, ranges, specials, columns, width, boxes, by, params, sample, max_cells) -> Cells:
+    def _cells(df, keys, classes, ranges, specials, columns, width, boxes, by, params, sample, max_cells) -> Cells | CellTable:
         spark = df.sparkSession
         place = {k: (ranges.get(c, (0.0, 0.0))[0], width) for k, c in zip(keys, classes, strict=True)}
         special = {k: specials[c] for k, c in zip(keys, classes, strict=True) if c in specials}
         stats = jm.partition_stats(df, place, special=special or None).limit(max_cells + 1).collect()
         if len(stats) > max_cells:
-            raise ValueError(f"over {max_cells} cells: take wider bins")
+            return JoinModel._table(df, list(keys), place, special, list(columns), boxes, by, params, sample)
         names = [f"bin_{k}" for k in keys]
         stats.sort(key=lambda r: [r[b] for b in names])
         bins = np.array([[r[b] for b in names] for r in stats], np.int64).reshape(len(stats), len(keys))
@@ -266,8 +336,114 @@ class JoinModel:
             cells.models[i] = Model(columns, root, int(n[i]), mine(whole.bins), mine(whole.weights), mine(whole.bounds), grid)
         return cells
 
+    @staticmethod
+    def _table(df, keys, place, special, columns, boxes, by, params, sample) -> CellTable:
+        """The cells of one table where they stay a table: the passes of `_cells`, keyed by bins."""
+        names = [f"bin_{k}" for k in keys]
+        whole = jm.partition_stats(df, place, special=special or None).select(*names, F.col("n").cast("double").alias("n"), *[F.col(f"ndv_{k}").cast("double").alias(f"ndv_{k}") for k in keys])
+        rows = df.na.drop(subset=keys).select(*{*keys, *columns})
+        for k, (low, w) in place.items():
+            rows = jm.special_bin(rows, k, special[k], w, low) if k in special else rows.withColumn(f"bin_{k}", jm.key_bin(F.col(k), w, low))
+        rows = rows.select(*names, *[F.col(c).cast("double").alias(c) for c in columns])
+        grid: dict[str, Grid] = {}
+
+        def joined(parts: DataFrame, label: str, value: Column) -> None:
+            nonlocal whole
+            whole = whole.join(parts.groupBy(*names).agg(F.collect_list(value).alias(label)).hint("merge"), names, "left")
+
+        if columns and by != "independent":
+            turn = Window.partitionBy(*names).orderBy("turn")
+            some = rows.withColumn("turn", F.rand(17)).withColumn("k", F.row_number().over(turn)).where(F.col("k") <= sample).select(*names, *columns)
+        if columns and by == "sampled":
+            joined(some, "rows", F.array(*columns))
+        elif columns:
+            _, grid = grids(rows, columns, params.max_bins)
+            # One column leaves nothing to learn.
+            plain = by == "independent" or len(columns) == 1
+            stars = _stars(len(columns))
+            text = json.dumps(_node_text(stars))
+            if plain and not grid:
+                number = F.create_map(*[F.lit(x) for node in stars.walk() if node.kind == "leaf" for x in (columns[node.columns[0]], node.number)])
+                counts = leaves.value_counts(rows, columns, names).select(*names, number[F.col("col")].alias("node"), "col", "v", "n")
+            else:
+                if not plain:
+
+                    def learned(table: pa.Table) -> pa.Table:
+                        values = np.column_stack([table.column(c).to_pandas().to_numpy(float) for c in columns])
+                        return pa.table({**{b: table.column(b).slice(0, 1) for b in names}, "root": pa.array([json.dumps(_node_text(learn(values, boxes, params)))])})
+
+                    roots = some.groupBy(*names).applyInArrow(learned, ", ".join(f"{b} long" for b in names) + ", root string").persist(StorageLevel.DISK_ONLY)
+                    rows = rows.join(roots.hint("merge"), names)
+                    whole = whole.join(roots.hint("merge"), names)
+
+                def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                    for batch in batches:
+                        own = np.column_stack([batch.column(b).to_numpy(zero_copy_only=False) for b in names])
+                        order = np.lexsort(own.T)
+                        values = next(iter(dep.batches_to_rows(iter([batch]), columns)), np.zeros((0, len(columns))))
+                        edges = np.flatnonzero(np.r_[True, (own[order][1:] != own[order][:-1]).any(1), True]) if len(own) else []
+                        for a, z in zip(edges[:-1], edges[1:], strict=True):
+                            root = stars if plain else _node_of(json.loads(batch.column("root")[int(order[a])].as_py()))
+                            if out := tallies(root, values[order[a:z]], columns, grid):
+                                found = tally_batch(out)
+                                yield pa.RecordBatch.from_arrays([*[pa.array(np.full(len(out), x)) for x in own[order[a]]], *found.columns], [*names, *found.schema.names])
+
+                counts = added_up(rows.mapInArrow(task, ", ".join(f"{b} long" for b in names) + f", {TALLIES}"), names)
+            counts = counts.persist(StorageLevel.DISK_ONLY)
+            if plain:
+                whole = whole.withColumn("root", F.lit(text))
+            leaf = counts.where("col <> '' and substring(col, 1, 1) not in ('<', '>')")
+            points = leaf.where(~F.col("col").isin(list(grid))) if grid else leaf
+            domain = points.where("v is not null").select("col", "v").distinct()
+            joined(leaves.histogram(points, domain, [*names, "node"]), "points", F.struct("node", "lo", "hi", "pdf", "non_null"))
+            if grid:
+                joined(leaf.where(F.col("col").isin(list(grid))), "places", F.struct("node", "col", "v", "n"))
+            if not plain:
+                joined(counts.where("col = '' or substring(col, 1, 1) in ('<', '>')"), "extent", F.struct("node", "col", "v", "n"))
+        for c, kind in _MODEL.items():
+            if c not in whole.columns:
+                whole = whole.withColumn(c, F.lit(None).cast(kind))
+        return CellTable(keys, columns, grid, whole.persist(StorageLevel.DISK_ONLY))
+
     # Estimates
 
+    def _kept(self, spark: SparkSession, table: str, box: dict[str, tuple[float, float]]) -> DataFrame:
+        """(bin_<key>, n, ndv_<key>, p) of a table's cells."""
+        t = self.tables[table]
+        if isinstance(t, CellTable):
+            return t.filtered(box)
+        rows = {f"bin_{k}": t.bins[:, i] for i, k in enumerate(t.keys)} | {"n": t.n} | {f"ndv_{k}": t.ndv[:, i] for i, k in enumerate(t.keys)} | {"p": t.selectivity(box, np.arange(len(t.n)))}
+        return spark.createDataFrame(pa.table(rows))
+
+    def solved(self, spark: SparkSession, node: JoinTree, boxes: dict[str, dict[str, tuple[float, float]]]) -> DataFrame:
+        """`solve` on tables: (bin_<key>, n, ndv_<key>)."""
+        keys, one = self.tables[node.table].keys, F.lit(1.0)
+        out = self._kept(spark, node.table, boxes.get(node.table, {}))
+        names = [f"bin_{k}" for k in keys]
+        out = out.select(*names, (F.col("n") * F.col("p")).alias("n"), *[(F.col(f"ndv_{k}") * (1 - F.pow(1 - F.col("p"), F.col("n") / F.col(f"ndv_{k}")))).alias(f"ndv_{k}") for k in keys])
+        for i, (key, child) in enumerate(node.children):
+            low = self.projected(spark, child, boxes).select(F.col("bin").alias(f"bin_{key}"), F.col("n").alias(f"c_n{i}"), F.col("keys").alias(f"c_k{i}"))
+            out = out.join(low, f"bin_{key}")
+        n, plain, special = F.col("n"), [one], []
+        for i, (key, _) in enumerate(node.children):
+            below, own, apart = F.col(f"c_k{i}"), F.col(f"ndv_{key}"), F.col(f"bin_{key}") < 0
+            n = n * F.when(below > 0, F.col(f"c_n{i}") / below).otherwise(0.0)
+            plain.append(F.when(apart, one).otherwise(F.when(own > 0, below / own).otherwise(one)))
+            special.append(F.when(apart, F.least(below, one)).otherwise(one))
+        n = n * F.array_min(F.array(*plain))
+        ranked = F.sort_array(F.array(*special)) if special else None
+        for i in range(len(special)):
+            n = n * F.pow(ranked[i], F.lit(1.0 / (i + 1)))
+        return out.select(*names, n.alias("n"), *[f"ndv_{k}" for k in keys])
+
+    def projected(self, spark: SparkSession, node: JoinTree, boxes) -> DataFrame:
+        """`project` on tables: (bin, n, keys)."""
+        at = F.col(f"bin_{node.key}")
+        low, high = self.ranges.get(self.classes[node.table, node.key], (0.0, 0.0))
+        w = F.when(at < 0, 1.0).otherwise(F.least(F.lit(float(self.width)), F.lit(float(high - low + 1)) - at * F.lit(float(self.width))))
+        free = F.product(F.greatest(F.lit(0.0), 1 - F.col(f"ndv_{node.key}") / w))
+        return self.solved(spark, node, boxes).groupBy(at.alias("bin"), w.alias("w")).agg(F.sum("n").alias("n"), free.alias("free")).select("bin", "n", (F.col("w") * (1 - F.col("free"))).alias("keys"))
+
     def keys_in(self, table: str, key: str, bins: np.ndarray) -> np.ndarray:
         """Whole keys that a bin can hold: 1 for a special value, the width, or what the range leaves of it for the last bin."""
         low, high = self.ranges.get(self.classes[table, key], (0.0, 0.0))
@@ -311,15 +487,29 @@ class JoinModel:
         np.multiply.at(free, where, np.maximum(0.0, 1 - ndv[:, at] / w[where]))
         return bins, np.bincount(where, n, len(bins)), w * (1 - free)
 
+    @property
+    def in_tables(self) -> bool:
+        """Whether a table has more cells than the driver holds."""
+        return any(isinstance(t, CellTable) for t in self.tables.values())
+
     def estimate(self, query: Query, root: str | None = None, hoist: bool = False) -> float:
         """Rows of the join. root: of the estimate, the last table by default, `best` for `best_root`; hoist: chains on one key first."""
         if root == "best":
-            root = best_root(query, {t: len(c.n) for t, c in self.tables.items()})
+            root = best_root(query, {t: c.frame.count() if isinstance(c, CellTable) else len(c.n) for t, c in self.tables.items()})
         tree = orient(query, root)
+        if self.in_tables:
+            tree = compressed(tree) if hoist else tree
+            return float(self.solved(SparkSession.getActiveSession(), tree, query.boxes).agg(F.coalesce(F.sum("n"), F.lit(0.0))).first()[0])
         return float(self.solve(compressed(tree) if hoist else tree, query.boxes)[1].sum())
 
     def estimates(self, queries: DataFrame) -> DataFrame:
-        """(qid, estimate) of rows (qid, query), query as JSON of its three parts; the model goes to the tasks, queries are spread over them."""
+        """(qid, estimate) of rows (qid, query), query as JSON of its three parts; the model goes to the tasks, queries are spread over them; where it has a CellTable, each query is a plan of its own."""
+        if self.in_tables:
+            spark, out = queries.sparkSession, queries.select(F.col("qid").cast("long").alias("qid"), F.lit(0.0).alias("estimate")).where("false")
+            for r in queries.select("qid", "query").collect():
+                q = query_of(r["query"])
+                out = out.union(self.solved(spark, orient(q), q.boxes).agg(F.lit(r.qid).cast("long").alias("qid"), F.coalesce(F.sum("n"), F.lit(0.0)).alias("estimate")))
+            return out
         shared = queries.sparkSession.sparkContext.broadcast(self)
 
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -284,12 +284,12 @@ def count(df: DataFrame, columns: Sequence[str], root: Node, grid: dict[str, Gri
     return added_up(df.select(*[F.col(c).cast("double").alias(c) for c in columns]).mapInArrow(task, TALLIES))
 
 
-def added_up(rows: DataFrame) -> DataFrame:
-    """Tallies of all tasks, or of old and new rows, as one."""
+def added_up(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Tallies of all tasks, or of old and new rows, as one; by: columns that tell trees apart."""
     box = F.substring("col", 1, 1).isin("<", ">")
     key = F.when(~box, F.col("v"))
-    out = rows.groupBy("node", "col", key.alias("k")).agg(F.sum("n").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
-    return out.select("node", "col", F.when(F.col("col").startswith("<"), F.col("low")).when(F.col("col").startswith(">"), F.col("high")).otherwise(F.col("k")).alias("v"), "n")
+    out = rows.groupBy(*by, "node", "col", key.alias("k")).agg(F.sum("n").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    return out.select(*by, "node", "col", F.when(F.col("col").startswith("<"), F.col("low")).when(F.col("col").startswith(">"), F.col("high")).otherwise(F.col("k")).alias("v"), "n")
 
 
 class Model:

@@ -126,3 +126,25 @@ def test_grid_places():
     grid = Grid([0.0, 1.0, 5.0], [False, True, False], 2.0)
     assert grid.place(np.array([0.0, 0.5, 1.0, 1.5, 5.0])).tolist() == [0, 0, 3, 2, 2]
     assert [grid.bin(p) for p in (0, 2, 3)] == [(0.0, 1.0), (1.0, 5.0), (1.0, 1.0)]
+
+
+@pytest.mark.parametrize("by, bins", [("independent", 2000), ("independent", 4), ("sampled", 2000), ("learned", 2000)])
+def test_more_cells_than_the_driver_holds(spark, by, bins):
+    """Tables of more than max_cells cells stay tables; the estimates are the same as of a model that the driver holds, special values, leaves of many values and empty results included."""
+    t = tables(spark)
+    queries = [
+        jt.Query(["a", "b"], JOINS[:1], {"a": {"x": (2, 6), "y": (3, 6)}, "b": {"z": (0, 1)}}),
+        jt.Query(["a", "b", "c"], JOINS, {"a": {"x": (0, 4)}, "c": {"w": (1, 1)}}),
+        jt.Query(["a", "c", "b"], JOINS, {"a": {"y": (9, 10)}}),
+        jt.Query(["a", "b"], JOINS[:1], {"a": {"x": (5, 2)}}),
+    ]
+    asked = spark.createDataFrame([(i, jt.query_text(q)) for i, q in enumerate(queries)], "qid long, query string")
+    boxes = {"a": np.array([[[2, 6], [3, 6]], [[0, 4], [-np.inf, np.inf]]])}
+    found = []
+    for most in (100_000, 12):  # of the three tables none, or two, stay tables
+        model = jt.JoinModel.fit(t, JOINS, COLUMNS, jt.Setting(10.0, 3), boxes, by, Params(max_bins=bins), 5000, most)
+        assert [isinstance(c, jt.CellTable) for c in model.tables.values()].count(True) == {100_000: 0, 12: 2}[most]
+        found.append([r.estimate for r in model.estimates(asked).orderBy("qid").collect()])
+    held, tabled = found
+    assert len(held) == len(queries) and held[0] > 0 and held[3] == 0
+    assert tabled == pytest.approx(held, rel=1e-9 if by != "learned" else 0.02, abs=1e-9)
