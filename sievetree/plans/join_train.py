@@ -328,8 +328,9 @@ class JoinModel:
                 if out:
                     yield tally_batch(out)
 
-        counts = added_up(rows.mapInArrow(task, TALLIES))
+        counts = added_up(rows.mapInArrow(task, TALLIES)).persist(StorageLevel.DISK_ONLY)  # read several times, the rows once
         whole = Model.from_counts(columns, Node("leaf", [0]), 0, counts, grid)
+        counts.unpersist()
         for i, root in roots.items():
             of = [node.number for node in root.walk()]
             mine = lambda d: {k: d[k + first[i]] for k in of if k + first[i] in d}  # noqa: B023, E731
