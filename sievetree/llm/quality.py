@@ -27,13 +27,27 @@ from .common import crc32_of_id, load, texts
 
 BUCKETS, DIMENSIONS, GRAMS, EPOCHS, RATE, SEED = 1 << 17, 12, (3, 4, 5), 6, 1.0, 7
 MAX_TRAIN, LEAST_STEPS = 4000, 20_000
-_PRIME, _CACHE, _CHUNK = np.uint64(0x100000001B3), 150_000, 10_000
+_PRIME, _CACHE = np.uint64(0x100000001B3), 150_000
+#: Bytes of words that are hashed at once, and characters of texts that are scored at once.
+_CHUNK, _RUN = 120_000, 500_000
 
 
 def _buckets(hashes: np.ndarray) -> np.ndarray:
     return (hashes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - 17)).astype(np.int64) % BUCKETS
 
 
+def _chunks(words: list[bytes], most: int = _CHUNK) -> Iterator[tuple[int, int]]:
+    """Begin and end of runs of words of at most so many bytes; a longer word is a run of its own. While it is hashed, a letter takes some hundred times its room."""
+    begin = size = 0
+    for i, w in enumerate(words):
+        if size and size + len(w) + 2 > most:
+            yield begin, i
+            begin, size = i, 0
+        size += len(w) + 2
+    if words:
+        yield begin, len(words)
+
+
 def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word number, bucket) of every feature of a word by itself, the word and the n-grams of <word>, all words in one array; and each word's hash."""
     joined = np.frombuffer(b"<" + b"><".join(words) + b">", np.uint8).astype(np.uint64)
@@ -70,9 +84,9 @@ def _bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     own: dict[bytes, int] = {}
     at = np.fromiter((own.setdefault(w, len(own)) for w in words), np.int64, len(words))
     times, distinct, hashes = np.bincount(at, minlength=len(own)), list(own), []
-    for i in range(0, len(distinct), _CHUNK):
-        owner, bucket, whole = word_features(distinct[i : i + _CHUNK])
-        np.add.at(counts, bucket, times[i : i + _CHUNK][owner])
+    for i, end in _chunks(distinct):
+        owner, bucket, whole = word_features(distinct[i:end])
+        np.add.at(counts, bucket, times[i:end][owner])
         hashes.append(whole)
     np.add.at(counts, pair_buckets(np.concatenate(hashes)[at]), 1)
     bucket = np.flatnonzero(counts)
@@ -126,8 +140,8 @@ class Scorer:
         if new:
             self.place.update(zip(new, range(len(self.sums), len(self.sums) + len(new)), strict=True))
             sums, counts, hashes = [self.sums], [self.counts], [self.hashes]
-            for i in range(0, len(new), _CHUNK):  # a feature takes many times the room of its letters while it is hashed
-                some = new[i : i + _CHUNK]
+            for i, end in _chunks(new):
+                some = new[i:end]
                 owner, bucket, whole = word_features(some)
                 sums.append(np.bincount(owner, self.margins[bucket], len(some)))
                 counts.append(np.bincount(owner, minlength=len(some)))
@@ -167,42 +181,43 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple
     return (bytes(model.margins), model.bias) if model else (bytes(4 * BUCKETS), 0.0)
 
 
-def _scorer(batches: Iterator[pa.RecordBatch], margins: bytes, bias: float):
+def _scores(arrays: Iterator[pa.Array], margins: bytes, bias: float) -> Iterator[pa.Array]:
+    """The scores of each array of texts. Only a run of texts at a time is made Python strings and words."""
     scorer = Scorer(np.frombuffer(margins, "<f4"), bias)
-    for batch in batches:
-        all_texts = [t or "" for t in batch.column("text").to_pylist()]
+    for array in arrays:
         out, run, size = [], [], 0
-        for t in [*all_texts, None]:
-            if run and (t is None or size > 1_000_000):
+        for text in array:
+            run.append(text.as_py() or "")
+            size += len(run[-1])
+            if size >= _RUN:
                 out.append(scorer(run))
                 run, size = [], 0
-            if t is not None:
-                run.append(t)
-                size += len(t)
-        yield batch, np.concatenate(out) if out else np.empty(0)
+        if run:
+            out.append(scorer(run))
+        yield pa.array(np.concatenate(out) if out else np.empty(0), pa.float64())
 
 
-def _score_task(batches: Iterator[pa.RecordBatch], margins: bytes, bias: float) -> Iterator[pa.RecordBatch]:
-    for batch, scores in _scorer(batches, margins, bias):
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], ["doc_id", "score"])
+def scorer(margins: bytes, bias: float):
+    """A function of a column of texts. Python gets the texts alone and gives numbers back: a row's other columns, and the text itself, don't go there and back."""
 
+    @F.arrow_udf("double")
+    def of(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return _scores(arrays, margins, bias)
 
-def _filter_task(batches: Iterator[pa.RecordBatch], margins: bytes, bias: float, least: float) -> Iterator[pa.RecordBatch]:
-    for batch, scores in _scorer(batches, margins, bias):
-        yield batch.filter(pa.array(scores >= least))
+    return lambda text: of(F.coalesce(text.cast("string"), F.lit("")))
 
 
 def score(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
     margins, bias = fit(docs, labels, max_train)
-    rows = texts(docs).mapInArrow(lambda b: _score_task(b, margins, bias), "doc_id long, score double")
+    rows = texts(docs).select("doc_id", scorer(margins, bias)(F.col("text")).alias("score"))
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep(docs: DataFrame, labels: DataFrame, least: float = 0.5, max_train: int = MAX_TRAIN) -> DataFrame:
     """The rows of docs that score at least `least`, all columns as they are."""
     margins, bias = fit(docs, labels, max_train)
-    return docs.mapInArrow(lambda b: _filter_task(b, margins, bias, least), docs.schema)
+    return docs.where(scorer(margins, bias)(F.col("text")) >= least)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -209,3 +209,26 @@ def test_repetition_is_known_of_words_never_seen():
     assert np.mean((scorer([t for t, _ in rows[300:]]) >= 0.5) == [y for _, y in rows[300:]]) > 0.97
     pairs = quality.pair_buckets(np.array([5, 5, 9, 5, 9, 9], np.uint64))
     assert pairs[0] == pairs[4] and pairs[1] != pairs[2]
+
+
+def test_python_gets_the_texts_alone(spark):
+    """Rows are kept with columns that no Arrow batch could hold."""
+    rows = corpus(90)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").selectExpr("doc_id", "text", "make_interval(0, 1, 0, doc_id) as age")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int")
+    kept = quality.keep(docs, labels)
+    assert kept.schema == docs.schema
+    assert sorted(r.doc_id for r in kept.selectExpr("doc_id", "cast(age as string) as age").collect()) == [i for i, _, y in rows if y]
+
+
+def test_words_hashed_at_once_are_bounded_by_bytes(monkeypatch):
+    rng = random.Random(2)
+    long = ["".join(rng.choice("abcdefgh") for _ in range(rng.choice([3, 6000]))) for _ in range(300)]
+    margins = np.random.default_rng(1).normal(size=quality.BUCKETS).astype(np.float32)
+    sizes, real = [], quality.word_features
+    monkeypatch.setattr(quality, "word_features", lambda words: (sizes.append(sum(map(len, words))), real(words))[1])
+    score = quality.Scorer(margins, 0.25)([" ".join(long)])[0]
+    bucket, share = quality._bag(" ".join(long))
+    assert max(sizes) <= 120_000 and sum(sizes) == 2 * sum(map(len, set(long)))
+    assert abs(score - 1 / (1 + math.exp(-(float(margins[bucket].astype(float) @ share) + 0.25)))) < 1e-5
+    assert list(quality._chunks([b"x" * 10, b"y", b"z" * 500, b"a"], 20)) == [(0, 2), (2, 3), (3, 4)] and not list(quality._chunks([]))
